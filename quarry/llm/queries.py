@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import syntax
+from quarry.llm import origin, syntax
 from quarry.sources.tables import table
 
 QUERIES = {}
@@ -27,3 +27,14 @@ def p2_found(spark, d):
 @query
 def p2_rates(spark, d):
     return syntax.rates(syntax.check_files(_files(spark, d)))
+
+
+# -- 7: generated, minified or vendored source files ----------------------------------------------------------------------
+@query
+def p7_found(spark, d):
+    return origin.foreign_files(_files(spark, d)).select("file_id")
+
+
+@query
+def p7_by_repository(spark, d):
+    return origin.origin_rates(origin.origins(_files(spark, d)))
