@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import origin, syntax
+from quarry.llm import docs, origin, syntax
 from quarry.sources.tables import table
 
 QUERIES = {}
@@ -29,6 +29,21 @@ def p2_rates(spark, d):
     return syntax.rates(syntax.check_files(_files(spark, d)))
 
 
+# -- 4: functions paired with their documentation -------------------------------------------------------------------------
+def _definitions(spark, d):
+    return table(spark, d, "definitions", "id", "name", "definition_type", "docstring", "source_code")
+
+
+@query
+def p4_found(spark, d):
+    return docs.code_pairs(_definitions(spark, d), with_code=False).select("definition_id").distinct()
+
+
+@query
+def p4_pairs(spark, d):
+    return docs.code_pairs(_definitions(spark, d)).distinct()
+
+
 # -- 7: generated, minified or vendored source files ----------------------------------------------------------------------
 @query
 def p7_found(spark, d):
