@@ -14,8 +14,8 @@ from __future__ import annotations
 import re
 
 _TOKEN = re.compile(
-    r"""(?:[\s﻿]+|//[^\n\r  ]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+
-    (?:(?P<id>\#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F{]+\}?)[\w$‌‍]*+(?:\\u[0-9a-fA-F{]+\}?[\w$‌‍]*+)*+)
+    r"""(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+
+    (?:(?P<id>\#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F{]+\}?)[\w$\u200c\u200d]*+(?:\\u[0-9a-fA-F{]+\}?[\w$\u200c\u200d]*+)*+)
       |(?P<num>(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?)
       |(?P<str>"[^"\\\n\r]*+(?:\\(?:\r\n|[\s\S])[^"\\\n\r]*+)*+"|'[^'\\\n\r]*+(?:\\(?:\r\n|[\s\S])[^'\\\n\r]*+)*+')
       |(?P<punct>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.`@])
@@ -47,7 +47,7 @@ _MEMBER_MODIFIERS = frozenset("static async get set accessor".split()) | _TS_MOD
 _TYPE_PREFIX = frozenset("keyof unique readonly infer asserts".split())
 _AFTER_NAME = frozenset("( = ; : ? ! } , <".split()) | {""}
 #: Looks ahead of the current token, in the order of their use.
-_P0 = re.compile(r"(?:[\s﻿]+|//[^\n\r]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+")
+_P0 = re.compile(r"(?:[\s\ufeff]+|//[^\n\r]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+")
 _P1 = re.compile(r"\s*(?:[^\w$\[{\s]|in\b|of\b)")
 _P2 = re.compile(r"\s*[,:=?)]")
 _P3 = re.compile(r"[ \t]+function\b")

@@ -89,7 +89,7 @@ def _automaton() -> ahocorasick.Automaton:
 def header(text: str) -> str:
     """The lines up to the first line of code behind the leading comments and imports, in lower case; a line of code with a comment before it, as minified files have, goes in by its comment."""
     lines, inside = [], ""
-    for line in text.removeprefix("﻿").split("\n"):
+    for line in text.removeprefix("\ufeff").split("\n"):
         stripped = line.strip()
         if inside:
             lines.append(stripped)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import docs, origin, syntax
+from quarry.llm import docs, origin, quality, syntax
 from quarry.sources.tables import table
 
 QUERIES = {}
@@ -53,3 +53,18 @@ def p7_found(spark, d):
 @query
 def p7_by_repository(spark, d):
     return origin.origin_rates(origin.origins(_files(spark, d)))
+
+
+# -- 10: per-document text quality statistics -----------------------------------------------------------------------------
+def _typed(spark, d):
+    return quality.text_types(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words", "word"))
+
+
+@query
+def p10_found(spark, d):
+    return _typed(spark, d).filter("text_type <> 'prose'").select("doc_id")
+
+
+@query
+def p10_statistics(spark, d):
+    return _typed(spark, d)

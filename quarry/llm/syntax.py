@@ -88,7 +88,7 @@ def _no_constant(name: str) -> None:
 
 def reject(text: str, extension: str) -> str | None:
     """Why the grammar of ``extension`` rejects the text, or None if it accepts it."""
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     if extension in ("js", "jsx", "ts", "tsx"):
         found = ecma.reject(text, extension in ("ts", "tsx"), extension in ("jsx", "tsx"))
         return found and found[0]
