@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import docs, origin, quality, syntax
+from quarry.llm import docs, origin, quality, secrets, syntax
 from quarry.sources.tables import table
 
 QUERIES = {}
@@ -44,6 +44,21 @@ def p4_pairs(spark, d):
     return docs.code_pairs(_definitions(spark, d)).distinct()
 
 
+# -- 5: credentials embedded in source code -------------------------------------------------------------------------------
+def _entities(spark, d):
+    return secrets.entities(_files(spark, d), table(spark, d, "definitions", "id", "source_code"))
+
+
+@query
+def p5_found(spark, d):
+    return secrets.find(_entities(spark, d)).select("entity_type", "entity_id", "line_no").distinct()
+
+
+@query
+def p5_redacted(spark, d):
+    return secrets.redact(_entities(spark, d)).distinct()
+
+
 # -- 7: generated, minified or vendored source files ----------------------------------------------------------------------
 @query
 def p7_found(spark, d):
