@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import docs, origin, quality, secrets, syntax
+from quarry.llm import docs, mixing, neardup, origin, quality, secrets, split, syntax, tokens
 from quarry.sources.tables import table
 
 QUERIES = {}
@@ -29,6 +29,29 @@ def p2_rates(spark, d):
     return syntax.rates(syntax.check_files(_files(spark, d)))
 
 
+# -- 3: splitting oversized items at natural boundaries -------------------------------------------------------------------
+def _items(spark, d):
+    return split.entities(table(spark, d, "files", "id", "file_content"), table(spark, d, "definitions", "id", "source_code"))
+
+
+@query
+def p3_found(spark, d):
+    return split.split_entities(_items(spark, d), table(spark, d, "split_limits")).select("entity_type", "entity_id", "cut_kind")
+
+
+@query
+def p3_pieces(spark, d):
+    return split.split(_items(spark, d), table(spark, d, "split_limits")).distinct()
+
+
+SQL["p3_found"] = r"""
+WITH items AS (SELECT 'file' AS entity_type, id AS entity_id, file_content AS text FROM files
+  UNION ALL SELECT 'definition', id, source_code FROM definitions)
+SELECT DISTINCT i.entity_type, i.entity_id,
+  CASE WHEN list_max(list_transform(string_split(i.text, chr(10)), lambda x: length(rtrim(x, chr(13))))) > l.max_chars THEN 'forced' ELSE 'natural' END AS cut_kind
+FROM items i JOIN split_limits l USING (entity_type) WHERE length(i.text) > l.max_chars"""
+
+
 # -- 4: functions paired with their documentation -------------------------------------------------------------------------
 def _definitions(spark, d):
     return table(spark, d, "definitions", "id", "name", "definition_type", "docstring", "source_code")
@@ -59,6 +82,21 @@ def p5_redacted(spark, d):
     return secrets.redact(_entities(spark, d)).distinct()
 
 
+# -- 6: near-duplicate records with small edits ---------------------------------------------------------------------------
+def _near(spark, d):
+    return neardup.NearDuplicates(neardup.records_of(table(spark, d, "definitions", "id", "definition_type", "source_code")))
+
+
+@query
+def p6_found(spark, d):
+    return _near(spark, d).expanded().select("def_id_a", "def_id_b")
+
+
+@query
+def p6_groups(spark, d):
+    return _near(spark, d).groups()
+
+
 # -- 7: generated, minified or vendored source files ----------------------------------------------------------------------
 @query
 def p7_found(spark, d):
@@ -70,6 +108,33 @@ def p7_by_repository(spark, d):
     return origin.origin_rates(origin.origins(_files(spark, d)))
 
 
+# -- 8: encoding of the whole corpus with a public tokenizer --------------------------------------------------------------
+def _vocabulary(spark) -> str:
+    """The folder of the vocabulary files is a setting of the session, with the usual place as its default."""
+    return spark.conf.get("quarry.tokenizers", tokens.DEFAULT_FOLDER) + "/" + tokens.DEFAULT_FILE
+
+
+@query
+def p8_ids(spark, d):
+    return tokens.encode_documents(table(spark, d, "documents", "doc_id", "text"), _vocabulary(spark))
+
+
+# -- 9: mixing sources to target weights ----------------------------------------------------------------------------------
+def _mix(spark, d):
+    documents = table(spark, d, "documents", "doc_id", "text", "source")
+    return mixing.Mix(documents, table(spark, d, "mix_targets"), table(spark, d, "common_words", "word"), _vocabulary(spark))
+
+
+@query
+def p9_mix(spark, d):
+    return _mix(spark, d).chosen()
+
+
+@query
+def p9_shares(spark, d):
+    return _mix(spark, d).shares()
+
+
 # -- 10: per-document text quality statistics -----------------------------------------------------------------------------
 def _typed(spark, d):
     return quality.text_types(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words", "word"))
