@@ -46,6 +46,7 @@ _TS_MODIFIERS = frozenset("public private protected readonly abstract override d
 _MEMBER_MODIFIERS = frozenset("static async get set accessor".split()) | _TS_MODIFIERS
 _TYPE_PREFIX = frozenset("keyof unique readonly infer asserts".split())
 _AFTER_NAME = frozenset("( = ; : ? ! } , <".split()) | {""}
+_OPTIONAL = re.compile(r"\s*\?\s*[:,)]")
 #: Looks ahead of the current token, in the order of their use.
 _P0 = re.compile(r"(?:[\s\ufeff]+|//[^\n\r]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+")
 _P1 = re.compile(r"\s*(?:[^\w$\[{\s]|in\b|of\b)")
@@ -1109,6 +1110,8 @@ class Recogniser:
                 self.next()
                 self.binding()
                 only_params = True
+            elif self.types and self.k == "id" and _OPTIONAL.match(self.src, self.e):
+                self.ident()
             else:
                 self.expr()
             if self.types and self.k == "punct" and self.v in (":", "?"):
