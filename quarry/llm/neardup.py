@@ -1,5 +1,8 @@
 """Near-duplicate records with small edits (problem 6).
 
+Small sides that the data make small (copies, keys of more than two, records in likely pairs) are counted first: up to ``FEW`` rows they
+are broadcast, beyond that the same join shuffles.
+
 1. ``sketches``: the distinct runs of consecutive tokens of each record as 64-bit hashes, a MinHash of ``BANDS`` times ``ROWS`` minima, a
    key per band from the full minima, and b-bit MinHash: the low ``BITS`` bits of all minima packed into a few longs. It is written
    once to the shared folder, as several later stages read it.
@@ -29,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.session import shared_folder
+from quarry.session import checkpoint, shared_folder
 
 BANDS, ROWS, BITS, BLOCK, SLACK = 32, 4, 2, 500, 0.2
+#: Rows of one or two numbers up to which a counted side of a join is broadcast, some 10 MB.
+FEW = 500_000
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 TOKEN = re.compile(r"[A-Za-z0-9_]+", re.A)
 _U = np.uint64
-SCHEMA = f"def_id bigint, set_key string, n_runs int, band_keys array<bigint>, {', '.join(f's{i} bigint' for i in range(LONGS))}, runs array<bigint>"
+SCHEMA = f"def_id bigint, set_key binary, n_runs int, band_keys array<bigint>, {', '.join(f's{i} bigint' for i in range(LONGS))}, runs array<bigint>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -136,7 +141,7 @@ def sketches(records: DataFrame, width: int = 3, least: int = 30) -> DataFrame:
             keys = band_keys(mins).reshape(-1).view(np.int64)
             columns = [
                 pa.array(ids, pa.int64()),
-                pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array(lengths.astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys)),
                 *[pa.array(longs[:, i].copy().view(np.int64)) for i in range(LONGS)],
@@ -147,6 +152,12 @@ def sketches(records: DataFrame, width: int = 3, least: int = 30) -> DataFrame:
     return records.mapInArrow(run, spark_schema)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows, worked out once, with a broadcast hint if they are counted to be few."""
+    done = checkpoint(rows)
+    return F.broadcast(done) if done.limit(FEW + 1).count() <= FEW else done
+
+
 def classes(sketch: DataFrame) -> DataFrame:
     """def_id, rep: each record and the smallest id with the same set of runs."""
     narrow = sketch.select("def_id", "set_key")
@@ -168,24 +179,25 @@ def pairs_within(rows: DataFrame, sizes: DataFrame, key: str, member: str, block
     return left.join(right, [key, "l", "r"]).filter("a < b").select("a", "b")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of representatives (def_id, band_keys) that share the key of a band."""
-    banded = reps.select("def_id", F.explode("band_keys").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("def_id").alias("a"), F.max("def_id").alias("b")).filter("n > 1")
+def candidates(banded: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of representatives that share a key; ``banded`` has def_id and key, and may repeat rows."""
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("def_id").alias("a"), F.max("def_id").alias("b")).filter("n > 1 AND a < b")
+    sizes = checkpoint(sizes)
     two = sizes.filter("n = 2").select("a", "b")
-    more = pairs_within(banded, sizes.filter("n > 2").select("key", "n"), "key", "def_id")
+    more = pairs_within(banded, settled(sizes.filter("n > 2").select("key", "n")), "key", "def_id")
     return two.unionByName(more).distinct()
 
 
-def similar(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def similar(sketch: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of the pairs at or above the threshold."""
     longs = [f"s{i}" for i in range(LONGS)]
-    narrow = reps.select("def_id", *longs)
+    narrow = sketch.select("def_id", *longs).dropDuplicates(["def_id"])
     a = narrow.select(F.col("def_id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in longs])
     b = narrow.select(F.col("def_id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in longs])
     estimated = estimate(equal_groups([F.col(f"a_{s}") for s in longs], [F.col(f"b_{s}") for s in longs]))
-    likely = pairs.join(a, "a").join(b, "b").filter(estimated >= threshold - SLACK).select("a", "b")
-    runs = reps.select("def_id", "runs")
+    likely = checkpoint(pairs.join(a, "a").join(b, "b").filter(estimated >= threshold - SLACK).select("a", "b"))
+    involved = settled(likely.select(F.explode(F.array("a", "b")).alias("def_id")).distinct())
+    runs = sketch.select("def_id", "runs").join(involved, "def_id", "left_semi").dropDuplicates(["def_id"])
     with_a = likely.join(runs.select(F.col("def_id").alias("a"), F.col("runs").alias("runs_a")), "a")
     with_both = with_a.join(runs.select(F.col("def_id").alias("b"), F.col("runs").alias("runs_b")), "b")
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
@@ -201,9 +213,11 @@ class NearDuplicates:
         folder = shared_folder(spark, "neardup")
         sketches(records, width, least).write.parquet(folder)
         self.sketch = spark.read.schema(SCHEMA).parquet(folder)
-        self.members = classes(self.sketch)
-        firsts = self.sketch.join(self.members.filter("def_id = rep").select("def_id"), "def_id", "left_semi").dropDuplicates(["def_id"])
-        self.links = similar(firsts, candidates(firsts), threshold)
+        self.members = checkpoint(classes(self.sketch))
+        copies = settled(self.members.filter("def_id <> rep").select("def_id"))
+        firsts = self.sketch.select("def_id", "band_keys").join(copies, "def_id", "left_anti")
+        banded = firsts.select("def_id", F.explode("band_keys").alias("key"))
+        self.links = checkpoint(similar(self.sketch, candidates(banded), threshold))
 
     def expanded(self) -> DataFrame:
         """def_id_a, def_id_b, similarity of all pairs of records, copies included."""
