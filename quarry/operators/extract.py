@@ -16,6 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 SCHEMA = "file_id bigint, name string, definition_type string, start_line int, end_line int, docstring string, source_code string"
 PARSEABLE = ("js", "jsx", "ts", "tsx", "py")
 
@@ -138,7 +140,7 @@ def extract(files: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["file_id", "name", "definition_type", "start_line", "end_line", "docstring", "source_code"])
 
-    return chosen.mapInArrow(run, SCHEMA)
+    return spread(chosen).mapInArrow(run, SCHEMA)
 
 
 def split_parseable(files: DataFrame) -> tuple[DataFrame, DataFrame]:

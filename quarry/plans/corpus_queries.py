@@ -564,9 +564,9 @@ def r4_full_text_paths(spark, d):
     return _rounded(S.bm25(table(spark, d, "files", "id", "file_path").distinct().select("id", F.col("file_path").alias("text")), "src/index"))
 
 
-@query(_bm25_sql("(SELECT DISTINCT id, name FROM definitions)", ["split", "w"], "name", prefix=True))
+@query(_bm25_sql("(SELECT DISTINCT id, name FROM definitions)", ["get", "s"], "name", prefix=True))
 def r10_prefix(spark, d):
-    return _rounded(S.bm25(table(spark, d, "definitions", "id", "name").distinct().select("id", F.col("name").alias("text")), "split w", prefix=True))
+    return _rounded(S.bm25(table(spark, d, "definitions", "id", "name").distinct().select("id", F.col("name").alias("text")), "get s", prefix=True))
 
 
 @query(rf"""SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string({_TOKENS.format("coalesce(text, '')")}, ' ') || ' ', ' for the ') AND contains(' ' || array_to_string({_TOKENS.format("coalesce(text, '')")}, ' ') || ' ', ' serv')""")
@@ -602,11 +602,11 @@ def r12_nearest_batch(spark, d):
 
 def _sources(spark, d):
     near = S.nearest(_vectors(spark, d), _VECTOR, k=30)
-    text = S.top(S.bm25(table(spark, d, "definitions", "id", "name").distinct().select("id", F.col("name").alias("text")), "split", prefix=True), 30, "rank", "id")
+    text = S.top(S.bm25(table(spark, d, "definitions", "id", "name").distinct().select("id", F.col("name").alias("text")), "get", prefix=True), 30, "rank", "id")
     return [near, text.select(F.lit("definition").alias("entity_type"), F.col("id").alias("entity_id"), F.col("rank").alias("distance"))]
 
 
-_SOURCES = f"""v AS (SELECT * FROM ({_NEAREST}) ORDER BY distance, entity_type, entity_id LIMIT 30), t AS (SELECT 'definition' AS entity_type, id AS entity_id, rank AS distance FROM ({_bm25_sql("(SELECT DISTINCT id, name FROM definitions)", ["split"], "name", True, 30)}))"""
+_SOURCES = f"""v AS (SELECT * FROM ({_NEAREST}) ORDER BY distance, entity_type, entity_id LIMIT 30), t AS (SELECT 'definition' AS entity_type, id AS entity_id, rank AS distance FROM ({_bm25_sql("(SELECT DISTINCT id, name FROM definitions)", ["get"], "name", True, 30)}))"""
 
 
 @query(f"""WITH {_SOURCES}, u AS (SELECT *, 0 AS source_order FROM v UNION ALL SELECT *, 1 FROM t), m AS (SELECT entity_type, entity_id, min((round(distance, 6), source_order)) AS m FROM u GROUP BY ALL)
@@ -703,7 +703,7 @@ def x18_embedding_text(spark, d):
 # -- extraction and folds -------------------------------------------------------------------------------------------------
 @query()
 def d1_definitions(spark, d):
-    return E.extract(table(spark, d, "files", "id", "file_path", "file_content").dropDuplicates(["id"]))
+    return E.extract(table(spark, d, "files", "id", "file_path", "file_content")).distinct()
 
 
 @query()

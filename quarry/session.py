@@ -53,3 +53,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt out to all cores where the scan has fewer partitions than these, as a small or single-file table has.
+
+    Only for plans without a shuffle, and before Python work that costs more than moving its input. A large table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
