@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import map_lists
+from quarry.session import spread
 
 # -- islands --------------------------------------------------------------------------------------------------------------
 _WATER = re.compile(r"\s*+")
@@ -199,4 +200,4 @@ def code_pairs(definitions: DataFrame, min_words: int = 4, with_code: bool = Tru
         return run
 
     schema = "definition_id bigint, name string, description string" + ", source_code string" * with_code
-    return map_lists(columns, make, schema)
+    return map_lists(spread(columns), make, schema)

@@ -37,10 +37,10 @@ def normal_source(column: str = "source"):
 
 def sizes(documents: DataFrame, common_words: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, source, n_tokens, weight: one row per document with a source and tokens."""
-    one = documents.dropDuplicates(["doc_id"])
-    counted = tokens.count_tokens(one, vocabulary)
-    weights = quality.text_types(one, common_words).select("doc_id", F.greatest(F.coalesce("prose_probability", F.lit(0.0)), F.lit(FLOOR)).alias("weight"))
-    return one.select("doc_id", normal_source().alias("source")).filter("source <> ''").join(counted.filter("n_tokens > 0"), "doc_id").join(weights, "doc_id")
+    named = documents.select("doc_id", normal_source().alias("source")).filter("source <> ''").dropDuplicates(["doc_id"])
+    counted = tokens.count_tokens(documents, vocabulary).filter("n_tokens > 0").dropDuplicates(["doc_id"])
+    weights = quality.text_types(documents, common_words).select("doc_id", F.greatest(F.coalesce("prose_probability", F.lit(0.0)), F.lit(FLOOR)).alias("weight"))
+    return named.join(counted, "doc_id").join(weights, "doc_id")
 
 
 def keyed(sized: DataFrame, seed: int) -> DataFrame:

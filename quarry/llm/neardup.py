@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.session import checkpoint, shared_folder
+from quarry.session import checkpoint, shared_folder, spread
 
 BANDS, ROWS, BITS, BLOCK, SLACK = 32, 4, 2, 500, 0.2
 #: Rows of one or two numbers up to which a counted side of a join is broadcast, some 10 MB.
@@ -149,7 +149,7 @@ def sketches(records: DataFrame, width: int = 3, least: int = 30) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in spark_schema])
 
-    return records.mapInArrow(run, spark_schema)
+    return spread(records).mapInArrow(run, spark_schema)
 
 
 def settled(rows: DataFrame) -> DataFrame:

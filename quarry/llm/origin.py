@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import map_lists
+from quarry.session import spread
 
 # Phrases in lower case, each with the kind it speaks for and a condition on its line (also lower case).
 _TAIL = r"(?:\W*$|\W+(?:this file|manually|by hand|directly)\b|[.!;,])"
@@ -188,7 +189,7 @@ def origins(files: DataFrame) -> DataFrame:
 
         return run
 
-    return map_lists(chosen, make, "file_id bigint, repo_slug string, kind string")
+    return map_lists(spread(chosen), make, "file_id bigint, repo_slug string, kind string")
 
 
 def foreign_files(files: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import map_lists
-from quarry.session import checkpoint
+from quarry.session import checkpoint, spread
 
 TYPES = ("prose", "list", "table", "code", "junk")
 #: The list of common words is fixed; a larger one than this is refused, as its square is sent to every task.
@@ -89,7 +89,7 @@ def pair_counts(documents: DataFrame, common: frozenset[str]) -> dict[tuple[str,
 
         return run
 
-    partial = map_lists(documents.select("text"), make, "a string, b string, n bigint")
+    partial = map_lists(spread(documents.select("text")), make, "a string, b string, n bigint")
     return {(r.a, r.b): r.n for r in partial.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -238,7 +238,7 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
         return run
 
-    return map_lists(documents.select("doc_id", "text"), make, "doc_id bigint, " + FIELDS)
+    return map_lists(spread(documents.select("doc_id", "text")), make, "doc_id bigint, " + FIELDS)
 
 
 #: Labelling functions: name, the type it speaks for, the condition under which it does.

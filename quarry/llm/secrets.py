@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import trigrams
 from quarry.llm.arrow import map_lists
+from quarry.session import spread
 
 #: Characters of a chunk where its lines are shorter. A few lines: the finer the postings, the less text is searched.
 CHUNK = 240
@@ -254,7 +255,7 @@ def entities(files: DataFrame, definitions: DataFrame) -> DataFrame:
     """entity_type, entity_id, path, text of both tables; a definition has no path, so its values must be quoted."""
     f = files.select(F.lit("file").alias("entity_type"), F.col("id").alias("entity_id"), F.col("file_path").alias("path"), F.col("file_content").alias("text"))
     d = definitions.select(F.lit("definition").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("path"), F.col("source_code").alias("text"))
-    return f.unionByName(d).filter(F.col("text") != "")
+    return spread(f.unionByName(d).filter(F.col("text") != ""))
 
 
 def find(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import ecma
 from quarry.llm.arrow import map_lists
+from quarry.session import spread
 
 #: Extensions with a grammar, and the language they stand for. Fixed values.
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "json": "json"}
@@ -122,7 +123,7 @@ def check_files(files: DataFrame) -> DataFrame:
 
         return run
 
-    return map_lists(chosen, make, "file_id bigint, repo_slug string, language string, reason string")
+    return map_lists(spread(chosen), make, "file_id bigint, repo_slug string, language string, reason string")
 
 
 def broken_files(files: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow import map_lists
+from quarry.session import spread
 
 DEFAULT_FILE = "byte_bpe_50k.tiktoken"
 DEFAULT_FOLDER = "/opt/tokenizers"
@@ -186,7 +187,7 @@ def encode_documents(documents: DataFrame, path: str = f"{DEFAULT_FOLDER}/{DEFAU
 
         return run
 
-    return map_lists(documents.select("doc_id", "text"), make, "doc_id bigint, ids array<int>")
+    return map_lists(spread(documents.select("doc_id", "text")), make, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(rows: DataFrame, path: str = f"{DEFAULT_FOLDER}/{DEFAULT_FILE}") -> DataFrame:
@@ -200,7 +201,7 @@ def count_tokens(rows: DataFrame, path: str = f"{DEFAULT_FOLDER}/{DEFAULT_FILE}"
 
         return run
 
-    return map_lists(rows.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint")
+    return map_lists(spread(rows.select("doc_id", "text")), make, "doc_id bigint, n_tokens bigint")
 
 
 def distinct_documents(encoded: DataFrame) -> DataFrame:
