@@ -125,7 +125,7 @@ def tag_content(text: Column, tag: str) -> Column:
 
 def tag_contents(text: Column, tag: str) -> Column:
     """What stands in all elements of a name, trimmed."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def preview(text: Column, limit: int = 280) -> Column:

@@ -39,7 +39,7 @@ def ignored(path: Column, patterns: tuple[str, ...], gitignore: tuple[str, ...]
 
 
 def read_tree(spark: SparkSession, root: str, recursive: bool = True, ignore: tuple[str, ...] = DEFAULT_IGNORE, gitignore: tuple[str, ...] = ()) -> DataFrame:
-    """path, content, valid: the files below a root, decoded as UTF-8. A file with other bytes keeps a null content and is marked."""
+    """path, content, valid: the files below a root, decoded as UTF-8. A file with other bytes keeps a null content and is marked; files without a byte are not listed."""
     if restricted(root):
         return spark.createDataFrame([], "path string, content string, valid boolean")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
