@@ -46,11 +46,13 @@ DETECTORS: list[tuple[str, str]] = [
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>npm_[A-Za-z0-9]{30,})"),
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})"),
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>(?:mgt|tok|key|svc|app)_(?:prod|live|test|dev)_[A-Za-z0-9]{20,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>(?:ox1\.|vlt\.s\.|qvk-)[A-Za-z0-9_\-]{16,})"),
     ("private key", r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),
     ("assigned", rf"(?i)(?<![\w\-])(?P<k>[\w\-]*{_KEY})[\"']?\]?{_TYPE}\s*(?:=>|:=|[=:](?![=:]))\s*(?:\(\s*)?[rbuf]?{_QUOTED}"),
     ("assigned", r"(?i)(?<![\w\-])(?P<k>[\w\-]*(?:_pass|\bpass|_pw|[a-z](?-i:Pass)))[\"']?\]?\s*(?:=>|:=|[=:](?![=:]))\s*" + _QUOTED),
     ("assigned", r"^[ \t]*(?:export +|set +)?(?P<k>[A-Z0-9_]+_KEY) *= *" + _QUOTED),
-    ("plain", rf"(?i)^(?P<l>[ \t]*(?:export +|set +|- +|ENV +)?)(?P<k>[\w.\-]*(?:{_KEY}|_pass|_pw|(?-i:_KEY))) *(?P<s>[=:]) *(?P<v>[^\s\"'#][^\n#]*?)(?=\s*(?: #[^\n]*)?\r?$)"),
+    ("plain", rf"(?i)^(?P<l>[ \t]*(?:export +|set +|- +|ENV +)?)(?P<k>[\w.\-]*(?:{_KEY}|_pass|_pw|(?-i:_KEY))) *(?P<s>[=:]) *(?P<v>[^\s\"'#](?:[^\n#]|(?<!\s)#)*?)(?=\s*(?: #[^\n]*)?\r?$)"),
     ("fallback", rf"(?i)(?<!\w)(?P<k>\w*{_KEY})[\"']?\]?\)?\s*(?:\?\?|\|\|)=?\s*{_QUOTED}"),
     ("fallback", rf"(?i)(?:getenv|environ\.get|env\.get|\bget|env)\(\s*[\"'](?P<k>[\w.\-]*{_KEY})[\"']\s*,\s*(?:default\s*=\s*)?{_QUOTED}"),
     ("fallback", rf"(?i)\$\{{(?P<k>\w*{_KEY}):?[-=](?P<v>[^}}\n]+)\}}"),
@@ -63,6 +65,7 @@ DETECTORS: list[tuple[str, str]] = [
     ("pair", rf"(?i)\bname[\"']?\s*:\s*[\"']?(?P<k>[\w.\-]*{_KEY})[\"']?,?\s*\n?\s*[\"']?value[\"']?\s*:\s*(?P<q>[\"']?)(?P<v>[^\"'\n#]+?)(?P=q)(?=\s*(?: #[^\n]*)?(?:[,}}]|\r?$))"),
     ("said", r"(?i)\b(?:password|passwd|passphrase|pass|pwd|secret|token|(?:api |access )?key|credentials?)\b(?:\s+(?:is|was|are|now))?\s*(?::|=)?\s*`(?P<v>[^`\n]+)`"),
     ("commented", r"(?i)(?:^|\s)(?://|#|/\*|\*|--|;|<!--)\s*(?P<k>(?:[\w-]+ ){0,4}(?:password|passwd|passphrase|pass|pwd|secret|token|key|credentials?|login|creds?))\s*(?::|=|->| is )\s*(?P<q>[\"'`]?)(?P<v>[^\s\"'`]{6,})(?P=q)"),
+    ("option", r"(?:^|\s)(?:-u|--user|--proxy-user)[ =](?P<q>[\"']?)(?P<k>[\w.@\-]+):(?P<v>[^\s\"':]+)(?P=q)"),
     ("option", rf"(?i)(?<![\w-])--(?P<k>[\w-]*{_KEY})[= ](?P<q>[\"']?)(?P<v>[^\s\"'<>]+)(?P=q)"),
 ]
 
@@ -71,14 +74,15 @@ PLAIN = frozenset("env ini yaml yml sh bash properties conf cfg toml md txt tf t
 
 # -- what is no credential ------------------------------------------------------------------------------------------------
 _PLACEHOLDER = re.compile(
-    r"^(?:x{3,}|\*{3,}|\.{3,}|-{2,}|_{3,}|#{3,}|0+|1234\d*|<[^>]*>?|\[[^\]]*\]|\{+[^}]*\}*|\$\{?[\w.]+.*|%\(?\w+\)?s?%?|\$\(.*|@[\w.]+@?"
-    r"|(?:your|my|the|some|any|an?|insert|enter|put|add|set|use|replace|change|fill|provide|example|sample|dummy|fake|mock|test|placeholder|default|redacted|removed|hidden|masked|secret|null|none|nil|undefined|true|false|yes|no|todo|fixme|tbd|xxx|n/a|na|empty|blank|unset|unknown|not[-_ ]?set|not[-_ ]?a)(?:[-_ .].*)?"
+    r"^(?:x{3,}|\*{3,}|\.{3,}|-{2,}|_{3,}|#{3,}|0+|1234\d*|<[^>]*>?|\[[^\]]*\]|\{+[^}]*\}*|\$\{?[\w.]+.*|%\(\w+\)[sd]|%[sd]|%\w+%|\$\(.*|@[\w.]+@"
+    r"|(?:your|insert|enter|replace|change|fill|provide|dummy|fake|placeholder|redacted|null|none|nil|undefined|true|false|todo|fixme|tbd|xxx|n/a|na|not[-_ ]?set|not[-_ ]?a)(?:[-_ .].*)?"
+    r"|(?:my|the|some|any|an?|put|add|set|use|example|sample|mock|test|default|removed|hidden|masked|secret|yes|no|empty|blank|unset|unknown)(?:[-_ .][^\d]*)?"
     r"|.*(?:change[-_ ]?me|replace[-_ ]?me|changeit|placeholder|redacted|your[-_].*(?:key|token|secret|password)|_here|-here|example)\b.*"
     r"|(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[-_ ]?key|key|bearer|credentials?|login|user(?:name)?|access[-_]?token|string|str|text|hash|admin|changeme)s?)$",
     re.I,
 )
 _REFERENCE = re.compile(
-    r"^(?:process\.env\b|os\.(?:environ|getenv)|env[.\[(]|import\.meta|config[.\[(]|settings[.\[(]|secrets?[.\[:/]|vault[:/.]|arn:|ssm:|kms:|gcp:|azure:|op://|keyring|file:|https?://[^:@\s]*$|\{\{|!\w+|\$\w|self\.|this\.|\w+\(.*\)$|(?:\./|/|~/)[\w./-]+$|(?:prod|dev|stage|staging|test|secret|secrets|kv|vault|app)(?:/[\w.-]+)+$)",
+    r"^(?:process\.env\b|os\.(?:environ|getenv)|env[.\[(]|import\.meta|config[.\[(]|settings[.\[(]|secrets?[.\[:/]|vault[:/.]|arn:|ssm:|kms:|gcp:|azure:|op://|keyring|file:|https?://[^:@\s]*$|\{\{|!(?:Ref|Sub|GetAtt|ImportValue|vault|secret|env|include)\b|\$\w|self\.|this\.|\w+\(.*\)$|(?:\./|/|~/)[\w./-]+$|(?:prod|dev|stage|staging|test|secret|secrets|kv|vault|app)(?:/[\w.-]+)+$)",
     re.I,
 )
 _DIGEST = re.compile(r"^(?:sha(?:1|224|256|384|512)|md5|blake\w*)[-:$]", re.I)
@@ -245,7 +249,11 @@ def search(texts: list[str | None], paths: list[str | None], plan: trigrams.Plan
     index = trigrams.Index(plan, [texts[i][a:b] for i, a, b in places])
     spans: list[list] = [[] for _ in texts]
     for number in range(len(DETECTORS)):
-        for c in index.candidates(number):
+        found = index.candidates(number).tolist()
+        if DETECTORS[number][0] in _MULTILINE:
+            # The trigrams may stand in the line after the chunk in which a match begins.
+            found = sorted({*found, *(c - 1 for c in found if c and places[c - 1][0] == places[c][0])})
+        for c in found:
             i, a, b = places[c]
             spans[i] += spans_in(texts[i], a, b, number, _plain(paths[i]))
     return [merged(s) for s in spans]
