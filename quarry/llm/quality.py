@@ -33,7 +33,8 @@ TYPES = ("prose", "list", "table", "code", "junk")
 MAX_COMMON_WORDS = 4000
 
 _LINE = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
-_TOKEN = re.compile(r"\S+")
+#: A run without blanks that has a letter or digit.
+_TOKEN = re.compile(r"(?:(?!\s)[\W_])*+[^\W_]\S*+")
 _ALNUM = re.compile(r"[^\W_]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -74,7 +75,7 @@ def pair_rows(texts: list[str], common: frozenset[str]) -> Counter:
     for text in texts:
         if not text:
             continue
-        words = [w if (w := x.lower()) in common else "" for x in _WORD.findall(text)]
+        words = [w if w in common else "" for w in _WORD.findall(text.lower())]
         counts.update((a, b) for a, b in zip(words, words[1:]) if a and b)
         counts.update((w, "") for w in words if w)
     return counts
@@ -162,7 +163,7 @@ def measure(text: str | None, common: frozenset[str], pmi: dict[tuple[str, str],
         if line.startswith(("```", "~~~")):
             fenced = not fenced
             continue
-        n = sum(1 for t in _TOKEN.findall(_CELL_TAG.sub(" ", line) if "<t" in line else line) if _ALNUM.search(t))
+        n = len(_TOKEN.findall(_CELL_TAG.sub(" ", line) if "<t" in line else line))
         kind = "code" if fenced else _kind(line, n)
         if kind == "text" and n == 1 and len(line) > 30:
             kind, n = "noise", max(1, len(line) // 8)
@@ -183,13 +184,13 @@ def measure(text: str | None, common: frozenset[str], pmi: dict[tuple[str, str],
     for block in blocks:
         joined = " ".join(block)
         for sentence in _SENTENCE_END.split(joined):
-            words = [t for t in _TOKEN.findall(sentence) if _ALNUM.search(t)]
+            words = _TOKEN.findall(sentence)
             if not words:
                 shares["noise"] += 1
             elif len(words) <= 8 and len(joined) < 60 and (len(words) < 4 or not _STOP.search(sentence) or len(words) <= 7):
                 shares["list"] += len(words)
             else:
-                marks = [w if (w := x.lower()) in common else "" for x in _WORD.findall(sentence)]
+                marks = [w if w in common else "" for w in _WORD.findall(sentence.lower())]
                 pairs += [pmi.get((a, b), -3.0) for a, b in zip(marks, marks[1:]) if a and b]
                 shaped = "inlinecode" in sentence or sentence[:1].isupper() and _STOP.search(sentence)
                 if sum(map(bool, marks)) < 0.08 * len(words) and not shaped:
@@ -206,15 +207,13 @@ def measure(text: str | None, common: frozenset[str], pmi: dict[tuple[str, str],
     shares["noise" if order is not None and order < ORDERED else "sentence"] += in_sentences - repeated
     total = sum(shares.values()) or 1
     words = _WORD.findall(stripped)
-    lower = [w.lower() for w in words]
-    tokens = [t for t in _TOKEN.findall(stripped) if _ALNUM.search(t)]
     visible = len("".join(stripped.split()))
     return (
-        len(tokens),
+        len(_TOKEN.findall(stripped)),
         sum(map(len, words)) / len(words) if words else None,
         len(_SYMBOL.findall(stripped)) / visible if visible else None,
         punctuated / lines if lines else None,
-        sum(w in common for w in lower) / len(words) if words else None,
+        sum(w in common for w in map(str.lower, words)) / len(words) if words else None,
         *[(shares[k] + shares["heading"] * (k == "list")) / total for k in ("list", "table", "code", "navigation", "noise", "repeated", "sentence")],
         order,
     )
