@@ -109,12 +109,12 @@ def f11_invalid_kinds(spark, d):
 
 
 # -- joins ----------------------------------------------------------------------------------------------------------------
-_HITS = "(SELECT 'file' AS entity_type, id AS entity_id, CAST(id % 97 AS DOUBLE) AS distance FROM files WHERE id % 3 = 0 GROUP BY ALL UNION ALL SELECT 'definition', id, CAST(id % 89 AS DOUBLE) FROM definitions WHERE id % 5 = 0 GROUP BY ALL)"
+_HITS = "(SELECT 'file' AS entity_type, id AS entity_id, CAST(id % 97 AS DOUBLE) AS distance FROM files GROUP BY ALL UNION ALL SELECT 'definition', id, CAST(id % 89 AS DOUBLE) FROM definitions GROUP BY ALL)"
 
 
 def _hits(spark, d):
-    f = table(spark, d, "files", "id").filter("id % 3 = 0").distinct().select(F.lit("file").alias("entity_type"), F.col("id").alias("entity_id"), (F.col("id") % 97).cast("double").alias("distance"))
-    g = table(spark, d, "definitions", "id").filter("id % 5 = 0").distinct().select(F.lit("definition").alias("entity_type"), F.col("id").alias("entity_id"), (F.col("id") % 89).cast("double").alias("distance"))
+    f = table(spark, d, "files", "id").distinct().select(F.lit("file").alias("entity_type"), F.col("id").alias("entity_id"), (F.col("id") % 97).cast("double").alias("distance"))
+    g = table(spark, d, "definitions", "id").distinct().select(F.lit("definition").alias("entity_type"), F.col("id").alias("entity_id"), (F.col("id") % 89).cast("double").alias("distance"))
     return f.unionByName(g)
 
 
@@ -401,26 +401,18 @@ def _part_edges(spark, d):
     return halves.union(p.filter("p_partkey > 2").select("p_partkey", F.expr("p_partkey div 3"))).distinct()
 
 
-def _cyclic_edges(spark, d):
-    n = table(spark, d, "supplier", "s_suppkey").agg(F.count("*").alias("n"))
-    lines = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_linenumber").filter("l_linenumber = 1 AND l_partkey % 7 < 2").select("l_suppkey", "l_partkey").distinct()
-    return lines.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n") + 1).alias("dst")).distinct()
+_STRONG = f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT node AS a, node AS b FROM n UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b),
+s AS (SELECT x.a AS node, max(x.b) AS component FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY ALL)"""
 
 
-_CYCLIC = "(SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) + 1 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 7 < 2)"
-
-
-@query(f"""WITH RECURSIVE e AS MATERIALIZED {_CYCLIC}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT node AS a, node AS b FROM n UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b)
-SELECT x.a AS node, max(x.b) AS component FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY ALL""")
+@query(f"{_STRONG} SELECT node, component FROM s")
 def g6_strong_components(spark, d):
-    return G.strongly_connected(_cyclic_edges(spark, d))
+    return G.strongly_connected(_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED {_CYCLIC}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT node AS a, node AS b FROM n UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b),
-s AS (SELECT x.a AS node, max(x.b) AS component FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY ALL)
-SELECT DISTINCT p.component AS src, q.component AS dst FROM e JOIN s p ON p.node = e.src JOIN s q ON q.node = e.dst WHERE p.component <> q.component""")
+@query(f"{_STRONG} SELECT DISTINCT p.component AS src, q.component AS dst FROM e JOIN s p ON p.node = e.src JOIN s q ON q.node = e.dst WHERE p.component <> q.component")
 def g7_condensation(spark, d):
-    edges = _cyclic_edges(spark, d)
+    edges = _edges(spark, d)
     return G.condensation(edges, G.strongly_connected(edges))
 
 
@@ -434,9 +426,10 @@ def g8_levels(spark, d):
     return G.levels(nodes, _part_edges(spark, d))
 
 
-@query()
+@query(f"""{_STRONG}, k AS MATERIALIZED (SELECT DISTINCT p.component AS src, q.component AS dst FROM e JOIN s p ON p.node = e.src JOIN s q ON q.node = e.dst WHERE p.component <> q.component),
+l AS (SELECT component AS node, 0 AS level FROM s UNION SELECT k.src, l.level + 1 FROM k JOIN l ON k.dst = l.node)
+SELECT f.id AS node, coalesce(s.component, f.id) AS component, coalesce(max(l.level), 0) AS level FROM (SELECT DISTINCT id FROM files) f LEFT JOIN s ON s.node = f.id LEFT JOIN l ON l.node = s.component GROUP BY ALL""")
 def g8_levels_of_files(spark, d):
-    """Levels of the import graph with its cycles; held against brute force in the tests."""
     return G.levels(table(spark, d, "files", "id").select(F.col("id").alias("node")), _edges(spark, d))
 
 
@@ -447,10 +440,10 @@ def g9_transitive_reduction(spark, d):
     return G.transitive_reduction(_part_edges(spark, d))
 
 
-@query(_PART_LEVELS + " SELECT node, node AS component, dense_rank() OVER (ORDER BY level) - 1 AS level FROM m WHERE node % 3 = 0 AND node > 20")
+@query(_PART_LEVELS + " SELECT node, node AS component, dense_rank() OVER (ORDER BY level) - 1 AS level FROM m WHERE node IN (SELECT p_partkey FROM part WHERE p_size <= 10)")
 def g10_allowed_levels(spark, d):
     nodes = table(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("node"))
-    return G.filter_levels(G.levels(nodes, _part_edges(spark, d)), nodes.filter("node % 3 = 0 AND node > 20"))
+    return G.filter_levels(G.levels(nodes, _part_edges(spark, d)), table(spark, d, "part", "p_partkey", "p_size").filter("p_size <= 10").select(F.col("p_partkey").alias("node")))
 
 
 @query(f"WITH e AS {_EDGES}, c AS (SELECT DISTINCT id FROM files WHERE language = 'python') SELECT id AS centre, id AS node, 'centre' AS role FROM c UNION SELECT src, dst, 'depends on' FROM e WHERE src IN (SELECT id FROM c) UNION SELECT dst, src, 'is used by' FROM e WHERE dst IN (SELECT id FROM c)")
@@ -470,37 +463,48 @@ def g_connected_components(spark, d):
 
 
 # -- incremental ----------------------------------------------------------------------------------------------------------
+_SNAPSHOTS = """f AS (SELECT DISTINCT file_path AS path, sha256(coalesce(file_content, '')) AS h, sha256(coalesce(file_content, '') || '#') AS h0 FROM files),
+o AS (SELECT path, min(h) AS h FROM (
+  SELECT path, CASE WHEN path IN (SELECT path FROM file_delta WHERE change = 'modified') THEN h0 ELSE h END AS h FROM f WHERE path NOT IN (SELECT path FROM file_delta WHERE change IN ('added', 'renamed'))
+  UNION ALL SELECT r.old_path, f.h FROM file_delta r JOIN f ON f.path = r.path WHERE r.change = 'renamed' AND r.old_path NOT IN (SELECT path FROM f)
+  UNION ALL SELECT path, sha256(path) FROM file_delta WHERE change = 'deleted' AND path NOT IN (SELECT path FROM f)) GROUP BY ALL)"""
+
+
 def _snapshots(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
-    body = F.concat(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string"))
-    old = docs.filter("doc_id % 13 <> 0").select(F.format_string("d/%d.py", "doc_id").alias("path"), F.sha2(body, 256).alias("content_hash"))
-    new = docs.filter("doc_id % 11 <> 0").select(
-        F.concat(F.when(F.col("doc_id") % 17 == 0, "moved/").otherwise("d/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
-        F.sha2(F.concat(body, F.when(F.col("doc_id") % 7 == 0, "!").otherwise("")), 256).alias("content_hash"),
-    )
-    return old, new
-
-
-@query("""WITH o AS (SELECT 'd/' || doc_id || '.py' AS path, sha256(coalesce(text, '') || doc_id) AS h FROM documents WHERE doc_id % 13 <> 0),
-n AS (SELECT CASE WHEN doc_id % 17 = 0 THEN 'moved/' ELSE 'd/' END || doc_id || '.py' AS path, sha256(coalesce(text, '') || doc_id || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id % 11 <> 0),
-m AS (SELECT n.path, o.path AS old_path FROM n JOIN o ON o.h = n.h WHERE n.path NOT IN (SELECT path FROM o) AND o.path NOT IN (SELECT path FROM n))
-SELECT path, 'renamed' AS change, old_path FROM m UNION ALL SELECT n.path, 'modified', NULL FROM n JOIN o ON o.path = n.path WHERE o.h <> n.h
-UNION ALL SELECT path, 'added', NULL FROM n WHERE path NOT IN (SELECT path FROM o) AND path NOT IN (SELECT path FROM m)
-UNION ALL SELECT path, 'deleted', NULL FROM o WHERE path NOT IN (SELECT path FROM n) AND path NOT IN (SELECT old_path FROM m)""")
+    """The tree as it is, and as it was before the changes of file_delta."""
+    body = F.coalesce("file_content", F.lit(""))
+    now = table(spark, d, "files", "file_path", "file_content").select(F.col("file_path").alias("path"), F.sha2(body, 256).alias("content_hash"), F.sha2(F.concat(body, F.lit("#")), 256).alias("other")).distinct()
+    delta = table(spark, d, "file_delta", "path", "change", "old_path")
+    fresh = delta.filter("change IN ('added', 'renamed')").select("path")
+    modified = delta.filter("change = 'modified'").select("path", F.lit(True).alias("_m")).distinct()
+    kept = now.join(fresh, "path", "left_anti").join(modified, "path", "left").select("path", F.when(F.col("_m"), F.col("other")).otherwise(F.col("content_hash")).alias("content_hash"))
+    moved = delta.filter("change = 'renamed'").join(now, "path").select(F.col("old_path").alias("path"), "content_hash")
+    gone = delta.filter("change = 'deleted'").select("path", F.sha2("path", 256).alias("content_hash"))
+    before = kept.unionByName(moved.unionByName(gone).join(now.select("path"), "path", "left_anti"))
+    return before.groupBy("path").agg(F.min("content_hash").alias("content_hash")), now.select("path", "content_hash")
+
+
+@query(f"""WITH {_SNAPSHOTS}, g AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM o WHERE path NOT IN (SELECT path FROM f)),
+a AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM f WHERE path NOT IN (SELECT path FROM o)), m AS (SELECT a.path, g.path AS old_path FROM a JOIN g ON g.h = a.h AND g.k = a.k)
+SELECT * FROM (SELECT path, 'renamed' AS change, old_path FROM m UNION ALL SELECT f.path, 'modified', NULL FROM f JOIN o ON o.path = f.path WHERE o.h <> f.h
+UNION ALL SELECT path, 'added', NULL FROM a WHERE path NOT IN (SELECT path FROM m) UNION ALL SELECT path, 'deleted', NULL FROM g WHERE path NOT IN (SELECT old_path FROM m)) WHERE regexp_matches(lower(path), '[.](js|jsx|ts|tsx|py)$')""")
 def i1_file_changes(spark, d):
     return D.file_changes(*_snapshots(spark, d))
 
 
-_DEF = "SELECT file_id AS file, source_code_hash AS code_hash, row_number() OVER (PARTITION BY file_id, source_code_hash ORDER BY start_line, id) AS occurrence FROM (SELECT DISTINCT id, file_id, source_code_hash, start_line FROM definitions WHERE source_code_hash IS NOT NULL AND {0})"
+_BARE = r"sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(source_code, '\b' || regexp_escape(name) || '\b', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)))"
+_NUMBERED = "SELECT file_id AS file, h AS code_hash, row_number() OVER (PARTITION BY file_id, h ORDER BY start_line, id) AS occurrence FROM (SELECT DISTINCT id, file_id, start_line, {0} AS h FROM definitions WHERE source_code IS NOT NULL AND name <> '' AND {0} IS NOT NULL)"
 
 
-@query(f"""WITH o AS ({_DEF.format("id % 19 <> 0")}), n AS ({_DEF.format("id % 23 <> 0")})
+@query(f"""WITH o AS ({_NUMBERED.format("source_code_hash")}), n AS ({_NUMBERED.format(_BARE)})
 SELECT coalesce(o.file, n.file) AS file, coalesce(o.code_hash, n.code_hash) AS code_hash, coalesce(o.occurrence, n.occurrence) AS occurrence, CASE WHEN o.file IS NULL THEN 'added' WHEN n.file IS NULL THEN 'removed' ELSE 'unchanged' END AS change
 FROM o FULL JOIN n ON o.file = n.file AND o.code_hash = n.code_hash AND o.occurrence = n.occurrence""")
 def i3_definition_changes(spark, d):
-    rows = table(spark, d, "definitions", "id", "file_id", "source_code_hash", "start_line").distinct().filter("source_code_hash IS NOT NULL")
-    rows = rows.select("id", F.col("file_id").alias("file"), F.col("source_code_hash").alias("code_hash"), F.struct("start_line", "id").alias("position"))
-    return D.definition_changes(rows.filter("id % 19 <> 0"), rows.filter("id % 23 <> 0"))
+    """Stored hashes, some of them stale, against those of the code as it is."""
+    rows = table(spark, d, "definitions", "id", "file_id", "name", "source_code", "source_code_hash", "start_line").distinct().filter("source_code IS NOT NULL AND name <> ''")
+    place = [F.col("file_id").alias("file"), F.struct("start_line", "id").alias("position")]
+    stored = rows.filter("source_code_hash IS NOT NULL").select(*place, F.col("source_code_hash").alias("code_hash"))
+    return D.definition_changes(stored, rows.select(*place, X.stable_hash(F.col("source_code"), F.col("name")).alias("code_hash")))
 
 
 @query()
@@ -517,18 +521,19 @@ def k2_insert_ignore(spark, d):
 
 
 @query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, coalesce(o.created_at, n.created_at) AS created_at FROM
-(SELECT DISTINCT id, name, created_at FROM packages WHERE id % 2 = 0) o FULL JOIN (SELECT DISTINCT id, upper(name) AS name, created_at + INTERVAL 1 DAY AS created_at FROM packages WHERE id % 3 = 0) n ON o.id = n.id""")
+(SELECT DISTINCT id, name, created_at FROM packages WHERE workspace_type IS NOT NULL) o FULL JOIN (SELECT DISTINCT id, upper(name) AS name, created_at + INTERVAL 1 DAY AS created_at FROM packages WHERE entry_point IS NOT NULL) n ON o.id = n.id""")
 def k3_upsert(spark, d):
-    p = table(spark, d, "packages", "id", "name", "created_at").distinct()
-    return D.upsert(p.filter("id % 2 = 0"), p.filter("id % 3 = 0").select("id", F.upper("name").alias("name"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at")), ["id"], ["created_at"])
+    p = table(spark, d, "packages", "id", "name", "created_at", "workspace_type", "entry_point").distinct()
+    old = p.filter("workspace_type IS NOT NULL").select("id", "name", "created_at")
+    return D.upsert(old, p.filter("entry_point IS NOT NULL").select("id", F.upper("name").alias("name"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at")), ["id"], ["created_at"])
 
 
-@query(f"""WITH gone AS (SELECT path FROM file_delta WHERE change = 'deleted' UNION SELECT file_path FROM files WHERE id % 10 = 3), f AS (SELECT DISTINCT id FROM files WHERE file_path NOT IN (SELECT path FROM gone)),
+@query(f"""WITH gone AS (SELECT path FROM file_delta WHERE change = 'deleted' UNION SELECT file_path FROM files WHERE language IS NULL), f AS (SELECT DISTINCT id FROM files WHERE file_path NOT IN (SELECT path FROM gone)),
 d AS (SELECT DISTINCT id FROM definitions WHERE file_id IS NULL OR file_id IN (SELECT id FROM f) OR file_id NOT IN (SELECT id FROM files)), r AS {_REFS}
 SELECT r.src AS source_definition_id, CASE WHEN r.dst IN (SELECT id FROM d) THEN r.dst END AS target_definition_id FROM r WHERE r.src IN (SELECT id FROM d)""")
 def k5_cascading_delete(spark, d):
-    files, defs = table(spark, d, "files", "id", "file_path").distinct(), table(spark, d, "definitions", "id", "file_id").distinct()
-    gone = table(spark, d, "file_delta", "path", "change").filter("change = 'deleted'").select("path").union(files.filter("id % 10 = 3").select("file_path"))
+    files, defs = table(spark, d, "files", "id", "file_path", "language").distinct(), table(spark, d, "definitions", "id", "file_id").distinct()
+    gone = table(spark, d, "file_delta", "path", "change").filter("change = 'deleted'").select("path").union(files.filter("language IS NULL").select("file_path"))
     refs = _references(spark, d).select(F.col("src").alias("source_definition_id"), F.col("dst").alias("target_definition_id"))
     return D.delete_files(files, defs, refs, gone)[2]
 
@@ -714,7 +719,7 @@ def e3_embeddings(spark, d):
 @query()
 def e4_summaries(spark, d):
     edges = _edges(spark, d)
-    nodes = table(spark, d, "files", "id", "file_path", "file_content").dropDuplicates(["id"]).select(F.col("id").alias("node"), F.col("file_path").alias("name"), F.substring("file_content", 1, 100).alias("text"))
+    nodes = table(spark, d, "files", "id", "file_path", "file_content").dropDuplicates(["id"]).select(F.col("id").alias("node"), F.col("file_path").alias("name"), F.col("file_content").alias("text"))
     return H.summarize_levels(nodes, edges, G.levels(nodes, edges))
 
 
