@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
 from quarry.functions import text as X
+from quarry.operators import config as M
 from quarry.operators import conversation as C
 from quarry.operators import delta as D
 from quarry.operators import extract as E
@@ -60,6 +61,12 @@ def s17_one_repository(spark, d):
     return table(spark, d, "documents", "repo_slug").filter("repo_slug = 'veldt-platform'").groupBy("repo_slug").agg(F.count("*").alias("n"))
 
 
+@query(r"SELECT DISTINCT id AS file_id FROM files WHERE regexp_matches(file_path, '[.]json$') AND NOT regexp_matches('/' || regexp_replace(file_path, '/[^/]*$', '') || '/', '/(node_modules|dist|build|coverage|out|vendor|[.][^/]*)/')")
+def s10_named_files(spark, d):
+    f = table(spark, d, "files", "id", "file_path").select(F.col("id").alias("file_id"), F.col("file_path").alias("path"))
+    return M.named_files(f, "*.json").select("file_id").distinct()
+
+
 # -- filters --------------------------------------------------------------------------------------------------------------
 @query("SELECT DISTINCT id, file_path FROM files WHERE language = 'python'")
 def f1_equality(spark, d):
@@ -306,6 +313,20 @@ def a8_result_statistics(spark, d):
     return S.result_statistics(_hits(spark, d))
 
 
+@query("SELECT file_id, array_to_string(list(name ORDER BY start_line, id), ' ') AS names, count(*) AS n FROM (SELECT DISTINCT id, file_id, name, start_line FROM definitions) GROUP BY ALL")
+def a3_names_per_file(spark, d):
+    rows = table(spark, d, "definitions", "id", "file_id", "name", "start_line").distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("start_line", "id", "name")))
+    return rows.groupBy("file_id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), " ").alias("names"), F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT i.file_id AS from_file, f.id AS to_file, i.specifier FROM imports i JOIN files f ON f.file_path = {_NORM} WHERE NOT coalesce(i.is_external, false)")
+def a9_distinct_targets(spark, d):
+    target = table(spark, d, "files", "id", "file_path").select(F.col("id").alias("to_file"), F.col("file_path").alias("key")).distinct()
+    inner = table(spark, d, "imports", "file_id", "specifier", "resolved_file_path", "is_external").filter(~F.coalesce(F.col("is_external"), F.lit(False)))
+    return inner.select(F.col("file_id").alias("from_file"), "specifier", P.normalize_path(F.col("resolved_file_path")).alias("key")).distinct().join(target, "key").select("from_file", "to_file", "specifier").distinct()
+
+
 @query("SELECT change, count(*) AS n FROM file_delta GROUP BY ALL")
 def a11_delta_rollup(spark, d):
     return D.delta_rollup(table(spark, d, "file_delta", "change"))
@@ -326,9 +347,10 @@ def a14_workspace_root(spark, d):
 
 
 # -- order and sets -------------------------------------------------------------------------------------------------------
-@query("SELECT id, file_path, created_at FROM (SELECT DISTINCT id, file_path, created_at FROM files) ORDER BY created_at DESC, id OFFSET 20 LIMIT 50")
+@query("SELECT id, file_path, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created FROM (SELECT DISTINCT id, file_path, created_at FROM files) ORDER BY created_at DESC, id OFFSET 20 LIMIT 50")
 def o3_page_by_time(spark, d):
-    return R.page(table(spark, d, "files", "id", "file_path", "created_at").distinct(), F.desc("created_at"), "id", limit=50, offset=20)
+    paged = R.page(table(spark, d, "files", "id", "file_path", "created_at").distinct(), F.desc("created_at"), "id", limit=50, offset=20)
+    return paged.select("id", "file_path", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 @query("SELECT user_id AS conv_id, event_id AS turn, event_type AS role FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10")
@@ -446,6 +468,12 @@ def g10_allowed_levels(spark, d):
     return G.filter_levels(G.levels(nodes, _part_edges(spark, d)), table(spark, d, "part", "p_partkey", "p_size").filter("p_size <= 10").select(F.col("p_partkey").alias("node")))
 
 
+@query(_PART_LEVELS + " SELECT level, count(*) AS n_nodes, count(*) AS n_components, CAST(sum(p_size) AS BIGINT) AS tokens, CAST(max(p_size) AS BIGINT) AS largest FROM m JOIN part ON p_partkey = node GROUP BY ALL")
+def a10_level_statistics(spark, d):
+    parts = table(spark, d, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("bigint").alias("tokens"))
+    return R.level_totals(G.levels(parts.select("node"), _part_edges(spark, d)), parts)
+
+
 @query(f"WITH e AS {_EDGES}, c AS (SELECT DISTINCT id FROM files WHERE language = 'python') SELECT id AS centre, id AS node, 'centre' AS role FROM c UNION SELECT src, dst, 'depends on' FROM e WHERE src IN (SELECT id FROM c) UNION SELECT dst, src, 'is used by' FROM e WHERE dst IN (SELECT id FROM c)")
 def g12_neighbours(spark, d):
     return G.neighbours(_edges(spark, d), table(spark, d, "files", "id", "language").filter("language = 'python'").select(F.col("id").alias("node")))
@@ -507,6 +535,12 @@ def i3_definition_changes(spark, d):
     return D.definition_changes(stored, rows.select(*place, X.stable_hash(F.col("source_code"), F.col("name")).alias("code_hash")))
 
 
+@query(f"SELECT DISTINCT d.id AS entity_id FROM definitions d JOIN {_SEEDS} s ON s.id = d.file_id WHERE coalesce(d.ai_summary, '') <> ''")
+def i7_ids_to_embed(spark, d):
+    seeds = g3_seeds(spark, d).filter("kind = 'definition'").select(F.col("node").alias("id"))
+    return R.present(table(spark, d, "definitions", "id", "ai_summary"), "ai_summary").join(seeds, "id", "left_semi").select(F.col("id").alias("entity_id")).distinct()
+
+
 @query()
 def i6_schedule(spark, d):
     edges = _edges(spark, d)
@@ -520,12 +554,12 @@ def k2_insert_ignore(spark, d):
     return D.insert_ignore(have, table(spark, d, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("src"), F.lit(0).cast("bigint").alias("k")), ["src"])
 
 
-@query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, coalesce(o.created_at, n.created_at) AS created_at FROM
+@query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, strftime(coalesce(o.created_at, n.created_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created FROM
 (SELECT DISTINCT id, name, created_at FROM packages WHERE workspace_type IS NOT NULL) o FULL JOIN (SELECT DISTINCT id, upper(name) AS name, created_at + INTERVAL 1 DAY AS created_at FROM packages WHERE entry_point IS NOT NULL) n ON o.id = n.id""")
 def k3_upsert(spark, d):
     p = table(spark, d, "packages", "id", "name", "created_at", "workspace_type", "entry_point").distinct()
     old = p.filter("workspace_type IS NOT NULL").select("id", "name", "created_at")
-    return D.upsert(old, p.filter("entry_point IS NOT NULL").select("id", F.upper("name").alias("name"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at")), ["id"], ["created_at"])
+    return D.upsert(old, p.filter("entry_point IS NOT NULL").select("id", F.upper("name").alias("name"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at")), ["id"], ["created_at"]).select("id", "name", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 @query(f"""WITH gone AS (SELECT path FROM file_delta WHERE change = 'deleted' UNION SELECT file_path FROM files WHERE language IS NULL), f AS (SELECT DISTINCT id FROM files WHERE file_path NOT IN (SELECT path FROM gone)),
@@ -574,6 +608,13 @@ def r10_prefix(spark, d):
     return _rounded(S.bm25(table(spark, d, "definitions", "id", "name").distinct().select("id", F.col("name").alias("text")), "get s", prefix=True))
 
 
+@query("SELECT r.id, n.name, f.file_path, r.rank FROM (" + _bm25_sql("(SELECT DISTINCT id, name FROM definitions)", ["get"], "name") + ") r JOIN (SELECT DISTINCT id, name, file_id FROM definitions) n ON n.id = r.id JOIN (SELECT DISTINCT id, file_path FROM files) f ON f.id = n.file_id")
+def j1_hits_with_homes(spark, d):
+    names = table(spark, d, "definitions", "id", "name", "file_id").distinct()
+    hits = _rounded(S.bm25(names.select("id", F.col("name").alias("text")), "get"))
+    return hits.join(names, "id").join(table(spark, d, "files", "id", "file_path").distinct().withColumnRenamed("id", "file_id"), "file_id").select("id", "name", "file_path", "rank")
+
+
 @query(rf"""SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string({_TOKENS.format("coalesce(text, '')")}, ' ') || ' ', ' for the ') AND contains(' ' || array_to_string({_TOKENS.format("coalesce(text, '')")}, ' ') || ' ', ' serv')""")
 def r11_phrase_and_prefix(spark, d):
     return S.matching(table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text"), '"for the" AND serv* -')
@@ -662,6 +703,24 @@ def x7_placeholder(spark, d):
     return table(spark, d, "definitions", "id", "name", "source_code").filter("source_code IS NOT NULL AND name IS NOT NULL").select("id", X.placeholder_summary(F.lit("definition"), F.col("name"), F.col("source_code")).alias("summary")).distinct()
 
 
+@query("SELECT DISTINCT id, name, file_path || '#' AS head FROM (SELECT d.id, regexp_replace(d.name, '[0-9]+$', '') AS name, f.file_path FROM definitions d JOIN files f ON f.id = d.file_id WHERE regexp_matches(d.name, '[^0-9]'))")
+def x8_symbols(spark, d):
+    f = table(spark, d, "files", "id", "file_path").distinct().withColumnRenamed("id", "file_id")
+    symbols = table(spark, d, "definitions", "id", "name", "file_id").distinct().join(f, "file_id").select("id", F.concat("file_path", F.lit("#`"), "name", F.lit("`().")).alias("symbol"))
+    return symbols.select("id", X.symbol_name(F.col("symbol")).alias("name"), F.concat(X.container_symbol(F.col("symbol")), F.lit("#")).alias("head")).filter("name IS NOT NULL")
+
+
+@query("SELECT CASE regexp_extract(lower(file_path), '[.][^./]+$') WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.json' THEN 'json' WHEN '.md' THEN 'markdown' WHEN '.css' THEN 'css' WHEN '.yaml' THEN 'yaml' WHEN '.sql' THEN 'sql' WHEN '.sh' THEN 'bash' ELSE 'unknown' END AS view_language, count(*) AS n FROM (SELECT DISTINCT id, file_path FROM files) GROUP BY ALL")
+def x11_view_languages(spark, d):
+    f = table(spark, d, "files", "id", "file_path").distinct()
+    return f.groupBy(X.language_of(P.extension(F.col("file_path")), X.VIEW_LANGUAGES).alias("view_language")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, trim(regexp_extract(text, '(?s)<gist>(.*?)</gist>', 1)) AS message FROM documents WHERE regexp_matches(text, '(?s)<gist>.*?</gist>')")
+def x13_tag_contents(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", X.tag_content(F.col("text"), "gist").alias("message")).filter("message IS NOT NULL")
+
+
 @query("SELECT DISTINCT d.id, md5(array_to_string(string_split(f.file_content, chr(10))[greatest(d.start_line, 1):d.end_line], chr(10))) AS slice FROM definitions d JOIN files f ON f.id = d.file_id WHERE f.file_content IS NOT NULL AND d.start_line <= len(string_split(f.file_content, chr(10)))")
 def x10_line_slices(spark, d):
     f = table(spark, d, "files", "id", "file_content").filter("file_content IS NOT NULL").withColumnRenamed("id", "file_id").dropDuplicates(["file_id"])
@@ -755,6 +814,13 @@ def t3_streamed_texts(spark, d):
     return C.stream_texts(_stream(spark, d))
 
 
+@query("SELECT session_id, tool_id, ['streaming', 'pending', 'executing', 'completed', 'failed'][max(event_id % 5) + 1] AS status FROM (SELECT user_id AS session_id, event_type AS tool_id, event_id FROM events) GROUP BY ALL")
+def t5_tool_states(spark, d):
+    names = F.array(*[F.lit(x) for x in ("streaming", "pending", "executing", "completed", "failed")])
+    e = table(spark, d, "events", "user_id", "event_type", "event_id").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("tool_id"), F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("status"))
+    return C.tool_status(e)
+
+
 @query(f"SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS call_no, call_no > 2 AS over_budget, seconds > 30 AS timed_out FROM {_STREAM} WHERE event_type = 'tool_call'")
 def t6_tool_budget(spark, d):
     return C.over_budget(_stream(spark, d).filter("event_type = 'tool_call'").select("session_id", "seq", "seconds")).drop("seconds")
@@ -768,7 +834,7 @@ def t7_batches(spark, d):
 _MESSAGES = "(SELECT user_id AS conv_id, event_id AS turn, event_type AS role, props AS text FROM events)"
 
 
-@query(f"""WITH r AS (SELECT conv_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS running_chars FROM {_MESSAGES})
+@query(f"""WITH r AS (SELECT conv_id, turn, CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_chars FROM {_MESSAGES})
 SELECT conv_id, turn, running_chars, coalesce(turn >= min(CASE WHEN running_chars >= 120 THEN turn END) OVER (PARTITION BY conv_id), true) AS included FROM r""")
 def t9_compaction(spark, d):
     m = table(spark, d, "events", "user_id", "event_id", "props").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.col("props").alias("text"))
