@@ -59,6 +59,8 @@ _CODE = re.compile(
     r"|[}\])]+[;,)]*.*$|.*[{;]$|[\w.\[\]\"'?]+\s*(?:=|\+=|-=)\s*\S.*|[\w.?]+\(.*\)[;:]?$|@\w+$|[\w\"']+:\s*[\w.\[{\"'].*,$|(?:logger|console)\.\w+\(|#!|\"{3}|`+;?$|\$\{|<\w+[^>]*>.*|SELECT\s|INSERT\s)"
 )
 _CODE_SHAPE = re.compile(r"[{}()=;\[\]<>_`$\"'|]|\w\.\w")
+#: What a plain sentence has not: signs of tables and navigation, wide blanks, the letter or number of a list item.
+_SHAPED = re.compile(r"[\t|<>·»/•;]|\s\s|^.[.)]")
 _CELLS = re.compile(r"\s{2,}|\t")
 _SENTENCE_END = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+")
 
@@ -115,6 +117,8 @@ def _kind(line: str, n: int) -> str:
     """What a line is by its form; ``n``: its words. ``text`` leaves it to the block it stands in."""
     if _LOG.match(line):
         return "code"
+    if n >= 8 and line[0].isupper() and not _SHAPED.search(line) and _STOP.search(line):
+        return "text"
     if "<td>" in line or "<tr>" in line or "<th>" in line or line.startswith("|") and line.endswith("|") and line.count("|") > 2:
         return "table"
     if line.count("\t") >= 2 or len(cells := [c for c in _CELLS.split(line) if c]) >= 3 and n <= 3 * len(cells):
