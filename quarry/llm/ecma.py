@@ -2,7 +2,7 @@
 
 The lexer is driven by the parser, as only the parser knows whether a ``/`` divides or opens a regular expression, whether a ``}``
 ends a block or a template's substitution, and where the raw text of JSX begins. The pushdown stack is explicit for delimiters
-(``self.open``), which gives the reason of a rejection, and is the call stack for constructs. Expressions are a flat loop
+(``self.open``), which gives the reason of a rejection, and is the call stack for constructs, whose limit is raised for texts that nest deeper. Expressions are a flat loop
 over operands and operators, without a level per precedence, so that the cost is linear in the text.
 
 It accepts a superset of the language in static semantics (redeclared names, assignment targets, ``await`` outside async functions),
@@ -12,6 +12,7 @@ which are no matters of the grammar a file's extension selects.
 from __future__ import annotations
 
 import re
+import sys
 
 _TOKEN = re.compile(
     r"""(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+
@@ -211,12 +212,15 @@ class Recogniser:
         self.fail()
 
     def s_if(self):
-        self.next()
-        self.parens()
-        self.statement()
-        if self.v == "else" and self.k == "id":
+        while True:
             self.next()
+            self.parens()
             self.statement()
+            if self.v != "else" or self.k != "id":
+                return
+            self.next()
+            if self.v != "if" or self.k != "id":
+                return self.statement()
 
     def s_while(self):
         self.next()
@@ -1268,16 +1272,81 @@ _STATEMENTS = {
 _TS_STATEMENTS = frozenset("interface type enum declare abstract namespace module global".split())
 
 
-def reject(text: str, types: bool, jsx: bool) -> tuple[str, int] | None:
-    """Reason and offset if the text is not in the language, else None. Nesting beyond Python's stack counts as accepted."""
-    r = Recogniser(text, types, jsx)
+#: Calls on the stack for a text that nests deeper than Python's usual limit. They lie on the heap, at about 160 bytes each.
+DEEPEST = 2_000_000
+
+
+def lex(text: str, jsx: bool) -> tuple[str, int] | None:
+    """Reason and offset to reject by literals, delimiters and conflict markers alone, to the end of the text, or None.
+
+    Without the grammar, the token before a ``/`` tells a regular expression from a division, and a quote without its end is taken
+    for text where JSX is allowed.
+    """
+    stack: list[str] = []
+    at = len(text.split("\n", 1)[0]) if text.startswith("#!") else 0
+    divides = False
+    while True:
+        m = _MATCH(text, at)
+        if m is None:
+            at = _P0.match(text, at).end()
+            if not jsx and (text[at] in "'\"" or text.startswith("/*", at)):
+                return "unterminated literal", at
+            at, divides = at + 1, False
+            continue
+        k = m.lastgroup
+        v, start, at = m[k], m.start(k), m.end()
+        if k == "end":
+            return ("unbalanced delimiter", start) if stack else None
+        template = False
+        if k == "punct":
+            if v[0] in "<>" and _CONFLICT.match(text, start):
+                return "merge conflict", start
+            if v == "`" or v == "}" and stack and stack[-1] == "`":
+                template = True
+                if v == "}":
+                    stack.pop()
+            elif v in "([{":
+                stack.append(v)
+            elif v in ")]}":
+                if not stack or stack.pop() != {")": "(", "]": "[", "}": "{"}[v]:
+                    return "unbalanced delimiter", start
+            elif v in ("/", "/=") and not divides and (m := _REGEX.match(text, start)) is not None:
+                at, v = m.end(), ")"
+        if template:
+            m = _TEMPLATE.match(text, at)
+            if m.group(1) is None:
+                return "unterminated literal", start
+            at = m.end()
+            if m.group(1) == "${":
+                stack.append("`")
+            divides = m.group(1) == "`"
+        else:
+            divides = k in ("num", "str") or k == "id" and (v not in _RESERVED or v in _OPERAND_WORDS) or k == "punct" and v in ")]}"
+
+
+def _recognised(text: str, types: bool, jsx: bool) -> tuple[str, int] | None:
     try:
-        r.module()
+        Recogniser(text, types, jsx).module()
     except Rejected as e:
         reason, at = e.args
         if (m := _CONFLICT.search(text)) is not None and m.start() <= at + 1 and at <= text.find("\n", m.start()) + 200:
             return "merge conflict", m.start()
         return reason, at
-    except RecursionError:
-        return None
     return None
+
+
+def reject(text: str, types: bool, jsx: bool) -> tuple[str, int] | None:
+    """Reason and offset if the text is not in the language, else None. Nesting beyond ``DEEPEST`` calls is left to ``lex``."""
+    try:
+        return _recognised(text, types, jsx)
+    except RecursionError:
+        pass
+    usual = sys.getrecursionlimit()
+    try:
+        sys.setrecursionlimit(max(usual, DEEPEST))
+        return _recognised(text, types, jsx)
+    except (RecursionError, MemoryError):
+        pass
+    finally:
+        sys.setrecursionlimit(usual)
+    return lex(text, jsx)

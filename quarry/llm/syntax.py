@@ -3,7 +3,8 @@
 Every file goes through the lexer of its extension's language with a pushdown stack of open delimiters. It finds unterminated literals,
 unbalanced delimiters, premature ends and conflict markers. For JavaScript and TypeScript the lexer is driven by a recogniser of the
 whole grammar (``ecma``) and its verdict stands. For Python and JSON the grammars of the standard library follow as the exact check;
-the lexer's reason is kept where both reject, and the lexer alone decides where nesting exceeds what the exact check can hold.
+the lexer's reason is kept where both reject. In each language the lexer alone decides where nesting exceeds what the exact check can hold,
+which for JavaScript and TypeScript is two million calls.
 
 Nulls and empty contents are no files to check; other extensions are left out. A leading byte-order mark and any line end are
 accepted. Repeated rows give one row. Contents of any length are read whole.

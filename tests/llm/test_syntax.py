@@ -76,6 +76,39 @@ def test_very_deep_and_very_long():
     assert syntax.reject("[" * 100_000, "json") == "unbalanced delimiter"
 
 
+DEEP = {
+    "else-ifs": "if (a) { b() }" + " else if (a) { b() }" * 600 + "\n",
+    "brackets": "f([" * 400 + "1" + "])" * 400 + ";\n",
+    "callbacks": "a(() => {\n" * 400 + "})" * 400 + ";\n",
+    "blocks": "if (a) {" * 600 + "}" * 600 + "\n",
+}
+
+
+@pytest.mark.parametrize("extension", ["js", "jsx", "ts", "tsx"])
+@pytest.mark.parametrize("deep", DEEP)
+def test_errors_behind_deep_nesting_are_found(deep, extension):
+    text = DEEP[deep]
+    assert syntax.reject(text + "const x = 1;\n", extension) is None
+    for end, reason in (("x = {", "unbalanced delimiter"), ("x = 'abc", "unterminated literal"), ("let = = 1;", "unexpected token"), ("<<<<<<< HEAD\na\n=======\nb\n>>>>>>> x\n", "merge conflict")):
+        assert syntax.reject(text + end, extension) == reason
+    assert syntax.reject(text[: len(text) * 3 // 4], extension) is not None
+
+
+def test_beyond_the_deepest_stack_the_lexer_decides(monkeypatch):
+    monkeypatch.setattr(ecma, "DEEPEST", 0)
+    deep = DEEP["brackets"]
+    for extension in ("js", "jsx", "ts", "tsx"):
+        assert syntax.reject(deep + "x = a / 2 + `a ${`b ${c} }`} {` + f(/[/)}]/) / 3; // (\n", extension) is None
+        for end, reason in (("x = {", "unbalanced delimiter"), ("f(]", "unbalanced delimiter"), ("x = `${a", "unbalanced delimiter"), ("x = `a", "unterminated literal"), ("<<<<<<< HEAD\na\n", "merge conflict")):
+            assert syntax.reject(deep + end, extension) == reason
+    assert syntax.reject(deep + "x = 'abc", "js") == "unterminated literal"
+
+
+def test_the_lexer_accepts_what_the_grammar_accepts():
+    for extension in ("js", "ts"):
+        assert [t for t in VALID[extension] if ecma.lex(t, False)] == []
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab1 (){}[]'\"\\`#/*:;,.=<>\n$", max_size=40))
 def test_any_text_ends(text):
