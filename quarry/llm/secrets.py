@@ -1,7 +1,8 @@
 """Credentials embedded in source code (problem 5).
 
 Texts are cut into chunks at line ends. Each batch of chunks gets a trigram index; the trigrams that a detector's expression requires
-select its candidate chunks by intersected postings, and only these are searched with the expression. What a detector takes for a
+select its candidate chunks by intersected postings, and only these are searched with the expression, with as many lines before and
+after them as a match of it can span, so that nothing depends on where a chunk ends. What a detector takes for a
 value is then judged: placeholders, references, names, digests and the like are no credentials. The index lives within its batch, so
 that no posting ever crosses the network, and its size is bounded by the batch's.
 
@@ -34,7 +35,8 @@ MARK = "REDACTED"
 # Words that end the name of a credential, and the shapes of providers' tokens.
 _KEY = r"(?:password|passwd|passphrase|passwort|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|service[_-]?key|signing[_-]?key|secret[_-]?key|private[_-]?key|encryption[_-]?key|auth[_-]?key|master[_-]?key|shared[_-]?key|account[_-]?key|deploy[_-]?key|license[_-]?key|bearer|credentials?|authorization)"
 _QUOTED = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"
-_TYPE = r"(?:\s*:\s*(?:[A-Za-z_][\w.]*(?:\[[^\]\n]*\])?(?:\s*\|\s*\w+)*|Optional\[\w+\]))?"
+_UNION = r"(?:\s*\|\s*\w+)*"
+_TYPE = rf"(?:\s*:\s*(?:[A-Za-z_][\w.]*(?:\[[^\]\n]*\])?{_UNION}|Optional\[\w+\]))?"
 DETECTORS: list[tuple[str, str]] = [
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>A(?:KI|SI)A[A-Z0-9]{16})(?![A-Za-z0-9])"),
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>gh[pousr]_[A-Za-z0-9]{30,})"),
@@ -150,8 +152,18 @@ def credential(kind: str, value: str, key: str | None, plain: bool) -> bool:
 
 # -- search ---------------------------------------------------------------------------------------------------------------
 _PATTERNS = [(kind, re.compile(p, re.M)) for kind, p in DETECTORS]
-#: Detectors whose match may go on in the line after a chunk.
-_MULTILINE = frozenset(("assigned", "fallback", "pair"))
+_BLANK = re.compile(r"\s*")
+
+
+def breaks_in(kind: str, pattern: str) -> int:
+    """How many gaps with line breaks a match can have at most, besides those at the bars of a union of types."""
+    if kind == "plain":  # blanks only in its looks around, which end at the value's line
+        return 0
+    outside = re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]", pattern.replace(_UNION, "").replace(r"(?:^|\s)", ""))
+    return outside.count(r"\s") + outside.count(r"\n")
+
+
+_BREAKS = [breaks_in(kind, p) for kind, p in DETECTORS]
 _JOIN = re.compile(r"\s*\+\s*(?:\\?\n\s*)?[rbuf]?([\"'])((?:(?!\1)[^\\\n]|\\.)+)\1")
 
 
@@ -169,6 +181,39 @@ def chunks_of(text: str, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def _last(text: str, at: int) -> int:
+    """Behind the last character before ``at`` that is not blank."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def ahead(text: str, end: int, breaks: int) -> int:
+    """How far a match with so many gaps can reach that begins before the line at ``end``; lines without a character do not count."""
+    stop = end
+    while (first := _BLANK.match(text, stop).end()) < len(text):
+        if text[first] != "|" and text[_last(text, first) - 1 : _last(text, first)] != "|":
+            if not breaks:
+                break
+            breaks -= 1
+        stop = text.find("\n", first)
+        if stop < 0:
+            return len(text)
+    return stop
+
+
+def behind(text: str, start: int, breaks: int) -> int:
+    """Where a match with so many gaps can begin at the earliest that goes on to the line at ``start``."""
+    while last := _last(text, start):
+        first = _BLANK.match(text, start).end()
+        if text[last - 1] != "|" and text[first : first + 1] != "|":
+            if not breaks:
+                break
+            breaks -= 1
+        start = text.rfind("\n", 0, last) + 1
+    return start
+
+
 def _private_key_end(text: str, at: int) -> int:
     """Behind the end line of the key that begins at ``at``; behind the last line of key material where that line is missing."""
     m = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(text, at)
@@ -180,10 +225,10 @@ def _private_key_end(text: str, at: int) -> int:
 
 
 def spans_in(text: str, start: int, end: int, number: int, plain: bool) -> Iterator[tuple[int, int, str]]:
-    """Begin, end and kind of the credentials of one detector that begin within a chunk."""
+    """Begin, end and kind of the credentials of one detector whose matches begin within whole lines, wherever they end."""
     kind, pattern = _PATTERNS[number]
-    stop = text.find("\n", end) if kind in _MULTILINE else end
-    for m in pattern.finditer(text, start, len(text) if stop < 0 else stop):
+    stop = ahead(text, end, _BREAKS[number]) if _BREAKS[number] else end
+    for m in pattern.finditer(text, start, stop):
         if m.start() >= end:
             return
         value, at = m.group("v"), m.start("v")
@@ -249,12 +294,18 @@ def search(texts: list[str | None], paths: list[str | None], plan: trigrams.Plan
     index = trigrams.Index(plan, [texts[i][a:b] for i, a, b in places])
     spans: list[list] = [[] for _ in texts]
     for number in range(len(DETECTORS)):
-        found = index.candidates(number).tolist()
-        if DETECTORS[number][0] in _MULTILINE:
-            # The trigrams may stand in the line after the chunk in which a match begins.
-            found = sorted({*found, *(c - 1 for c in found if c and places[c - 1][0] == places[c][0])})
-        for c in found:
+        ranges: list[list[int]] = []
+        for c in index.candidates(number).tolist():
             i, a, b = places[c]
+            if breaks := _BREAKS[number]:
+                # A match may begin in lines before the chunk that has its trigrams. Ranges that one match can join are searched as one.
+                before = ranges[-1] if ranges and ranges[-1][0] == i else None
+                if before and before[2] == a or before and behind(texts[i], a, breaks) < ahead(texts[i], before[2], breaks):
+                    before[2] = b
+                    continue
+                a = behind(texts[i], a, breaks)
+            ranges.append([i, a, b])
+        for i, a, b in ranges:
             spans[i] += spans_in(texts[i], a, b, number, _plain(paths[i]))
     return [merged(s) for s in spans]
 

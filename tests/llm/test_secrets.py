@@ -72,6 +72,33 @@ def test_index_against_substring_search(chunks):
         assert {i for i, c in enumerate(chunks) if re.search(pattern, c)} <= set(index.candidates(number).tolist())
 
 
+GAPS = [
+    ("a.sql", "CREATE USER a IDENTIFIED BY|'Passage%496';"), ("a.sql", "CREATE USER a IDENTIFIED|BY|'Passage%496';"), ("a.sql", "ALTER ROLE b PASSWORD|'gallery-penalty-3278';"), ("a.md", "The password|is|:|`Answer%0809`"),
+    ("a.md", "Authorization: Bearer|6b7ce5a0511e1dbf1e6dd49df1507bfd8b2f2890"), ("a.md", "Use basic|c3ZjX2hvbGRlcjpXYXZlaGVhZGVyNjIk"), ("a.ts", "const h = ['x-api-key'|,|'token 6b7ce5a0511e1dbf1e6dd49d'];"), ("a.py", "#|password|:|h4rd-pass-77"),
+    ("a.py", "api_key|:|str|=|(|'mgt7prod7amZBtXil7VAlMZUE7'|)"), ("a.ts", "let password:|string|=|'h4rd-pass-77'"), ("a.py", "x = os.getenv(|'A_SECRET'|,|default|=|'b0udlej8Mf%_UKxx7'|)"), ("a.ts", "x = env.PASSWORD|??|'pocket-bridge-4293'"),
+    ("a.yaml", "- name|:|X_SECRET|value|:|Jm6YuhqgbekYIIOY"), ("a.ts", "let password: A" + "".join(f"\n  | B{i}" for i in range(80)) + "|=|'h4rd-pass-77'"),
+]
+
+
+@pytest.mark.parametrize(("path", "text"), GAPS)
+def test_found_over_every_chunk_border(plan, path, text):
+    for gap in ("\n", "\n\n  ", "\r\n" * 300):
+        sample = re.sub(r"(?<!  )\|", lambda _: gap, text)
+        alone = S.search([sample], [path], plan)[0]
+        befores = ["y" * n + "\n" for n in range(0, S.CHUNK + 2, 1 if len(gap) < 9 else 40)]
+        for before, spans in zip(befores, S.search([b + sample + "\n" + "z" * 300 for b in befores], [path] * len(befores), plan)):
+            assert [(begin - len(before), end - len(before), kind) for begin, end, kind in spans] == alone != []
+        assert S.MARK in S.redacted(sample, alone)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([w for _, text in GAPS for w in re.split(r"(?<!  )\|", text)]), st.sampled_from(["\n", "\n\n", " ", "y" * 100, "|", "x = 1;\n"])), max_size=40), st.sampled_from(["a.py", "a.env"]))
+def test_chunks_find_what_the_whole_text_has(plan, parts, path):
+    text = "\n".join(parts)
+    whole = [span for number in range(len(S.DETECTORS)) for span in S.spans_in(text, 0, len(text), number, S._plain(path))]
+    assert S.search([text], [path], plan)[0] == S.merged(whole)
+
+
 def test_required():
     assert T.required("abcd") == [frozenset((b"abc", b"bcd"))]
     assert T.required("x*(?:abc|defg)y*") == sorted([frozenset([b"abc"]), frozenset([b"def", b"efg"])], key=sorted)
