@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import similarity_of, tokens
+from quarry.session import shared_folder
 
+#: Queries, and numbers in their vectors, that are sent to the tasks at once: 16 MB.
+BLOCK, BLOCK_NUMBERS = 10_000, 2_000_000
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -109,16 +114,18 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, entity_type: st
     return found.filter(F.col("entity_type") == entity_type) if entity_type is not None and post_filter else found
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, default_k: int = 10) -> DataFrame:
-    """query_id, entity_id, distance, position: the nearest vectors of each query (query_id, vector, k), for a stated set of queries.
+def _blocks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """The queries (id, vector, k) in lists that are small enough to be sent."""
+    rows = iter(rows)
+    for first in rows:
+        size = min(BLOCK, max(1, BLOCK_NUMBERS // max(1, len(first[1]))))
+        yield [first, *islice(rows, size - 1)]
 
-    The queries, few by contract, are sent to the vectors; each task keeps only its own best per query before anything is shuffled.
-    """
+
+def _nearest_of_block(vectors: DataFrame, rows: list[tuple]) -> DataFrame:
+    """query_id, entity_id, distance, k: at least the k nearest vectors of each query; each task keeps its own best."""
     import numpy as np
 
-    rows = [(r.query_id, [float(x) for x in r.vector], r.k or default_k) for r in queries.filter("vector IS NOT NULL").limit(10_001).collect()]
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 queries in one batch")
     ids, matrix, ks = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), [r[2] for r in rows]
 
     def best(batches):
@@ -138,9 +145,30 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, default_k: int = 10) -
 
         yield pd.DataFrame([(ids[q], int(e), d, ks[q]) for q in range(len(ids)) for d, e in kept[q]], columns=["query_id", "entity_id", "distance", "k"])
 
-    partial = vectors.filter("embedding IS NOT NULL").select("entity_id", "embedding").mapInPandas(best, "query_id bigint, entity_id bigint, distance double, k int")
+    return vectors.filter("embedding IS NOT NULL").select("entity_id", "embedding").mapInPandas(best, "query_id bigint, entity_id bigint, distance double, k int")
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, default_k: int = 10) -> DataFrame:
+    """query_id, entity_id, distance, position: the nearest vectors of each query (query_id, vector, k), for a stated set of queries.
+
+    The queries, of any number, are sent to the vectors in bounded blocks, one after the other; each task keeps only its own best per
+    query before anything is shuffled. Where one block does not hold them all, each block's best are written below the shared folder
+    and merged at the end, as the rows of a repeated query may lie in several blocks.
+    """
     order = Window.partitionBy("query_id").orderBy("distance", "entity_id")
-    return partial.withColumn("position", F.row_number().over(order)).filter("position <= k").drop("k")
+
+    def first(partial: DataFrame) -> DataFrame:
+        return partial.withColumn("position", F.row_number().over(order)).filter("position <= k")
+
+    found = queries.filter("vector IS NOT NULL").select("query_id", "vector", "k").toLocalIterator()
+    blocks = _blocks((r.query_id, [float(x) for x in r.vector], r.k or default_k) for r in found)
+    block, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return first(_nearest_of_block(vectors, block)).drop("k")
+    spark, folder = vectors.sparkSession, shared_folder(vectors.sparkSession, "nearest")
+    for rows in chain([block, second], blocks):
+        first(_nearest_of_block(vectors, rows)).drop("position").write.mode("append").parquet(folder)
+    return first(spark.read.parquet(folder)).drop("k")
 
 
 def best_per_entity(hits: DataFrame) -> DataFrame:

@@ -172,6 +172,27 @@ def test_vectors(spark):
     assert S.nearest_batch(v.limit(0), queries).count() == 0
 
 
+def test_nearest_of_any_number_of_queries(spark, monkeypatch):
+    v = spark.createDataFrame([("file", i, [float(i), 0.0]) for i in range(6)], "entity_type string, entity_id bigint, embedding array<float>")
+    many = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.col("id") % 6 + 0.25, F.lit(0.0)).alias("vector"), F.lit(1).alias("k"))
+    found = S.nearest_batch(v, many).collect()
+    assert len(found) == 10_050 and all(r.entity_id == r.query_id % 6 and r.distance == 0.25 and r.position == 1 for r in found)
+
+    rows = [(q, [q * 0.7, 0.1], k) for q in range(8) for k in ([3] if q % 3 else [2, 2])] + [(99, None, 1)]
+    queries = spark.createDataFrame(rows, "query_id bigint, vector array<double>, k int")
+    whole = sorted(S.nearest_batch(v, queries, 2).collect())
+    for block, numbers in ((3, 100), (100, 2), (100, 8)):
+        monkeypatch.setattr(S, "BLOCK", block)
+        monkeypatch.setattr(S, "BLOCK_NUMBERS", numbers)
+        assert [len(b) for b in S._blocks([(1, [0.0, 1.0], 2)] * 5)] == {3: [3, 2], 2: [1] * 5, 8: [4, 1]}[block if block < 9 else numbers]
+        assert sorted(S.nearest_batch(v, queries, 2).collect()) == whole
+    expected = []
+    for q in range(8):
+        near = sorted((float(((i - q * 0.7) ** 2 + 0.1**2) ** 0.5), i) for i in range(6) for _ in range(1 if q % 3 else 2))[: 3 if q % 3 else 2]
+        expected += [(q, i, round(d, 9), n) for n, (d, i) in enumerate(near, 1)]
+    assert [(r.query_id, r.entity_id, round(r.distance, 9), r.position) for r in sorted(whole, key=lambda r: (r.query_id, r.position))] == expected
+
+
 def test_hybrid_and_shape(spark):
     a = spark.createDataFrame([("file", 1, 0.5), ("file", 2, 0.1)], "entity_type string, entity_id bigint, distance double")
     b = spark.createDataFrame([("file", 1, -3.0), ("definition", 9, -1.0)], "entity_type string, entity_id bigint, distance double")
