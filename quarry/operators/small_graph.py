@@ -9,8 +9,11 @@ from collections import deque
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Edges up to which a graph goes to one task: 16 MB of ids.
 LIMIT = 1_000_000
@@ -131,18 +134,19 @@ def in_one_task(edges: DataFrame, extra: DataFrame | None, schema: str, work: Ca
     rows = edges.select(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b"))
     if extra is not None:
         rows = rows.unionByName(extra.select(F.col("node").cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")))
+    # A column of its own marks the rows without an edge: numbers beside nulls would come as floats, which round ids above 2^53.
+    rows = rows.filter("a IS NOT NULL").select("a", F.coalesce("b", F.lit(0)).alias("b"), F.isnull("b").alias("alone"))
+    spark_schema = StructType.fromDDL(schema)
+    arrow_schema = to_arrow_schema(spark_schema)
 
     def run(batches):
-        import pandas as pd
-
-        parts = [pdf for pdf in batches if len(pdf)]
+        parts = [batch for batch in batches if batch.num_rows]
         if not parts:
             return
-        a = np.concatenate([p["a"].to_numpy(dtype=np.float64 if p["a"].isna().any() else np.int64) for p in parts]).astype(np.int64)
-        missing = np.concatenate([p["b"].isna().to_numpy() for p in parts])
-        b = np.concatenate([p["b"].fillna(0).to_numpy().astype(np.int64) for p in parts])
-        ids, numbers = np.unique(np.concatenate([a, b[~missing]]), return_inverse=True)
+        a, b, alone = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(3))
+        ids, numbers = np.unique(np.concatenate([a, b[~alone]]), return_inverse=True)
         na = numbers[: len(a)]
-        yield pd.DataFrame(work(ids, na[~missing], numbers[len(a) :], na[missing]))
+        found = work(ids, na[~alone], numbers[len(a) :], na[alone])
+        yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
 
-    return rows.filter("a IS NOT NULL").repartition(1).mapInPandas(run, schema)
+    return rows.repartition(1).mapInArrow(run, spark_schema)

@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
 from quarry.operators import small_graph as S
@@ -116,3 +117,20 @@ def test_definition_graph_and_seeds(spark):
     assert {r.node: r.title for r in nodes.collect()} == {1: "a.ts", 3: "b.ts"} and [tuple(r) for r in edges.collect()] == [(3, 1)]
     delta = spark.createDataFrame([("b.ts", "modified"), ("c.ts", "deleted"), ("x.ts", "added")], "path string, change string")
     assert {(r.node, r.kind) for r in G.seeds_from_delta(delta, files, defs).collect()} == {(2, "file"), (3, "definition")}
+
+
+@pytest.mark.parametrize("limit", [0, S.LIMIT])
+def test_ids_above_2_to_53_stay_exact(spark, limit):
+    first = 2**53 + 1
+    far = [first, first + 2, first + 4, 2**62 + 1, 2**62 + 3, -(2**60) - 1]
+    pairs = [(far[0], far[1]), (far[1], far[0]), (far[1], far[2]), (far[3], far[4])]
+    edges = spark.createDataFrame([*pairs, (far[5], far[5]), (far[5], None)], "src bigint, dst bigint").coalesce(1)
+    nodes = spark.createDataFrame([(x,) for x in far], "node bigint")
+    component = {r.node: r.component for r in G.connected_components(edges, small_limit=limit).collect()}
+    assert {n: c for n, c in component.items() if n != far[5]} == {far[0]: far[0], far[1]: far[0], far[2]: far[0], far[3]: far[3], far[4]: far[3]} and component.get(far[5], far[5]) == far[5]
+    strong = {r.node: r.component for r in G.strongly_connected(edges, small_limit=limit).collect()}
+    assert {n: c for n, c in strong.items() if n != far[5]} == {far[0]: far[1], far[1]: far[1], far[2]: far[2], far[3]: far[3], far[4]: far[4]} and strong.get(far[5], far[5]) == far[5]
+    seeds = nodes.filter(F.col("node").isin(far[2], far[5]))
+    assert {(r.node, r.distance) for r in G.reverse_closure(edges, seeds, small_limit=limit).collect()} == {(far[2], 0), (far[1], 1), (far[0], 2), (far[5], 0)}
+    level = {r.node: (r.component, r.level) for r in G.levels(nodes, edges, small_limit=limit).collect()}
+    assert level == {far[0]: (far[1], 1), far[1]: (far[1], 1), far[2]: (far[2], 0), far[3]: (far[3], 1), far[4]: (far[4], 0), far[5]: (far[5], 0)}
