@@ -74,8 +74,9 @@ class Mix:
         if len(rows) > MAX_TARGETS:
             raise ValueError(f"more than {MAX_TARGETS} sources in mix_targets")
         have = {r.source: r.available_tokens or 0 for r in rows}
-        plan = [(s, math.floor(b / have[s] + 1e-12), b - have[s] * math.floor(b / have[s] + 1e-12)) for s, b in budgets(have, {r.source: (r.target_share, r.max_repeats) for r in rows}, total).items()]
-        self.plan = self.spark.createDataFrame(plan, "source string, epochs int, rest double")
+        repeats = {r.source: r.max_repeats for r in rows}
+        plan = [(s, math.floor(b / have[s] + 1e-12), b - have[s] * math.floor(b / have[s] + 1e-12), b >= have[s] * repeats[s] * (1 - 1e-9)) for s, b in budgets(have, {r.source: (r.target_share, r.max_repeats) for r in rows}, total).items()]
+        self.plan = self.spark.createDataFrame(plan, "source string, epochs int, rest double, binding boolean")
 
     def chosen(self) -> DataFrame:
         """doc_id, source, n_tokens, times: the documents of the mixture and how often each is used."""
@@ -94,11 +95,15 @@ class Mix:
         return whole.select(*cols).unionByName(none.select(*cols)).unionByName(edge.select(*cols)).filter("times > 0")
 
     def shares(self) -> DataFrame:
-        """source, target_share, max_repeats, n_documents, available_tokens, used_tokens, actual_share, per source of either side."""
-        used = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("used_tokens"), F.max("times").alias("most_times"))
-        joined = self.targets.join(self.available, "source", "full_outer").join(used, "source", "left")
+        """source, target_share, max_repeats, n_documents, available_tokens, used_tokens, most_times, unused_tokens, binding, actual_share, per source of either side.
+
+        unused_tokens are those of documents that are not in the mixture; binding sources are used as often as they may be, and set its size.
+        """
+        used = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("used_tokens"), F.max("times").alias("most_times"), F.sum("n_tokens").alias("once"))
+        joined = self.targets.join(self.available, "source", "full_outer").join(used, "source", "left").join(F.broadcast(self.plan.select("source", "binding")), "source", "left")
         filled = joined.select(
-            "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "available_tokens", "used_tokens", "most_times")]
+            "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "available_tokens", "used_tokens", "most_times")],
+            (F.coalesce("available_tokens", F.lit(0)) - F.coalesce("once", F.lit(0))).alias("unused_tokens"), F.coalesce("binding", F.lit(False)).alias("binding"),
         )
         total = filled.agg(F.sum("used_tokens").alias("total"))
         return filled.crossJoin(F.broadcast(total)).withColumn("actual_share", F.when(F.col("total") > 0, F.col("used_tokens") / F.col("total")).otherwise(0.0)).drop("total")

@@ -162,3 +162,15 @@ def test_mix(spark):
     assert len({r.doc_id for r in chosen}) == len(chosen) and not {2000, 2001, 2002, 2003} & {r.doc_id for r in chosen}
     empty = mixing.Mix(documents.limit(0), targets, spark.createDataFrame([("the",)], "word string"), VOCABULARY)
     assert empty.chosen().count() == 0 and empty.shares().count() == 3
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="the vocabulary file is not here")
+def test_shares_say_what_is_unused_and_which_source_binds(spark):
+    documents = spark.createDataFrame([(i, f"the text of number {i} is not long", "big") for i in range(20)] + [(90, "one short text", "small"), (91, "of no target", "other")], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2), ("missing", 0.1, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.Mix(documents, targets, spark.createDataFrame([("the",), ("of",)], "word string"), VOCABULARY)
+    shares = {r.source: r for r in mix.shares().collect()}
+    in_mix = {r.source: r.n for r in mix.chosen().groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    assert {s for s, r in shares.items() if r.binding} == {"small"} and shares["small"].most_times == 2
+    assert all(r.unused_tokens == r.available_tokens - in_mix.get(s, 0) for s, r in shares.items())
+    assert shares["small"].unused_tokens == 0 < shares["big"].unused_tokens and shares["other"].unused_tokens == shares["other"].available_tokens
