@@ -479,6 +479,11 @@ def g12_neighbours(spark, d):
     return G.neighbours(_edges(spark, d), table(spark, d, "files", "id", "language").filter("language = 'python'").select(F.col("id").alias("node")))
 
 
+@query(f"WITH e AS {_EDGES}, c AS (SELECT DISTINCT id FROM files) SELECT id AS centre, id AS node, 'centre' AS role FROM c UNION SELECT src, dst, 'depends on' FROM e WHERE src IN (SELECT id FROM c) UNION SELECT dst, src, 'is used by' FROM e WHERE dst IN (SELECT id FROM c)")
+def g12_neighbours_of_all_files(spark, d):
+    return G.neighbours(_edges(spark, d), table(spark, d, "files", "id").select(F.col("id").alias("node")))
+
+
 @query("""WITH f AS (SELECT DISTINCT id, file_path, string_split(file_path, '/') AS p FROM files), r AS (SELECT id, p, unnest(range(1, len(p) + 1)) AS depth FROM f)
 SELECT array_to_string(p[1:depth], '/') AS path, CASE WHEN depth > 1 THEN array_to_string(p[1:depth - 1], '/') END AS parent, p[depth] AS name, depth, max(CASE WHEN depth = len(p) THEN id END) AS file_id FROM r GROUP BY ALL""")
 def g13_file_tree(spark, d):

@@ -134,3 +134,14 @@ def test_ids_above_2_to_53_stay_exact(spark, limit):
     assert {(r.node, r.distance) for r in G.reverse_closure(edges, seeds, small_limit=limit).collect()} == {(far[2], 0), (far[1], 1), (far[0], 2), (far[5], 0)}
     level = {r.node: (r.component, r.level) for r in G.levels(nodes, edges, small_limit=limit).collect()}
     assert level == {far[0]: (far[1], 1), far[1]: (far[1], 1), far[2]: (far[2], 0), far[3]: (far[3], 1), far[4]: (far[4], 0), far[5]: (far[5], 0)}
+
+
+def test_every_file_is_a_centre(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    found = entry.queries()["g12_neighbours_of_all_files"](spark, d)
+    files = {r.id for r in spark.read.parquet(f"{d}/files.parquet").select("id").distinct().collect() if r.id is not None}
+    assert {r.centre for r in found.filter("role = 'centre'").collect()} == files
+    python = entry.queries()["g12_neighbours"](spark, d)
+    assert python.exceptAll(found).count() == 0 and python.count() < found.count()
