@@ -5,8 +5,10 @@ no document used more than the source's ``max_repeats`` times, unless a size is
 the rest by weighted sampling without replacement after Efraimidis and Spirakis: each document gets an exponential key with a rate of
 its quality weight, and the documents with the smallest keys are taken until their summed tokens reach the rest of the budget.
 
-The sum runs over all documents of a source, of which one may hold a third of everything. So keys fall into ``BUCKETS`` ranges of
-equal probability; the sums of the ranges decide for all ranges but one per source, and only the documents of that one are sorted.
+The sum runs over all documents of a source, of which one may hold a third of everything. So keys fall into ranges of their logarithm,
+``RANGES`` to each doubling. An exponential key with any rate, and so any mixture of weights, falls into one such range with a chance of
+at most ln(2) / (e * RANGES), 0.03 %. The sums of the ranges decide for all ranges but one per source, and only the documents of that one
+are sorted. One pass over the texts gives tokens and weights.
 
 Quality weights are the posterior of prose (problem 10), with a floor, so that a document is made rare but never impossible.
 
@@ -17,7 +19,7 @@ sources that exist. A null max_repeats counts as 1. Ties of keys go by doc_id. R
 
 from __future__ import annotations
 
-import math
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +27,8 @@ from pyspark.sql import functions as F
 from quarry.llm import quality, tokens
 from quarry.session import checkpoint
 
-BUCKETS = 1024
+RANGES = 1024
 FLOOR = 0.1
-#: mix_targets is a fixed table; more sources than this are refused, as the plan of the mixture is made on the driver.
-MAX_TARGETS = 10_000
 
 
 def normal_source(column: str = "source"):
@@ -37,28 +37,32 @@ def normal_source(column: str = "source"):
 
 def sizes(documents: DataFrame, common_words: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, source, n_tokens, weight: one row per document with a source and tokens."""
-    named = documents.select("doc_id", normal_source().alias("source")).filter("source <> ''").dropDuplicates(["doc_id"])
-    counted = tokens.count_tokens(documents, vocabulary).filter("n_tokens > 0").dropDuplicates(["doc_id"])
-    weights = quality.text_types(documents, common_words).select("doc_id", F.greatest(F.coalesce("prose_probability", F.lit(0.0)), F.lit(FLOOR)).alias("weight"))
-    return named.join(counted, "doc_id").join(weights, "doc_id")
+    rows = documents.select("doc_id", "text", normal_source().alias("source")).filter("source <> ''")
+    typed = quality.text_types(rows, common_words, ("source",), partial(tokens.counter, vocabulary))
+    return typed.filter("n_tokens > 0").select("doc_id", "source", "n_tokens", F.greatest(F.coalesce("prose_probability", F.lit(0.0)), F.lit(FLOOR)).alias("weight"))
 
 
 def keyed(sized: DataFrame, seed: int) -> DataFrame:
     """Adds the exponential key and the range it falls into."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     with_key = sized.withColumn("key", -F.log(uniform) / F.col("weight"))
-    return with_key.withColumn("bucket", F.least(F.floor(F.lit(BUCKETS) * (F.lit(1.0) - F.exp(-F.col("key")))), F.lit(BUCKETS - 1)).cast("int"))
+    return with_key.withColumn("range", F.floor(F.log2("key") * F.lit(RANGES)).cast("int"))
 
 
-def budgets(available: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Tokens that each source is to contribute."""
-    present = {s: (share, repeats) for s, (share, repeats) in targets.items() if available.get(s) and share > 0 and repeats > 0}
-    whole = sum(share for share, _ in present.values())
-    if not whole:
-        return {}
-    largest = min(available[s] * repeats / (share / whole) for s, (share, repeats) in present.items())
-    size = largest if total is None else total
-    return {s: min(size * share / whole, available[s] * repeats) for s, (share, repeats) in present.items()}
+def budgets(available: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """source, epochs, rest, binding: complete epochs and further tokens that each source (available_tokens; target_share, max_repeats) is to contribute.
+
+    Worked out by two aggregates over the sources, so their number has no bound.
+    """
+    present = targets.join(available, "source").filter("available_tokens > 0 AND target_share > 0 AND max_repeats > 0").select("source", "target_share", "max_repeats", "available_tokens")
+    whole = present.agg(F.sum("target_share").alias("_whole"))
+    most = F.col("available_tokens") * F.col("max_repeats")
+    scaled = present.crossJoin(F.broadcast(whole)).withColumn("_share", F.col("target_share") / F.col("_whole"))
+    size = scaled.agg((F.min(most / F.col("_share")) if total is None else F.lit(float(total))).alias("_size"))
+    budget = F.least(F.col("_size") * F.col("_share"), most.cast("double"))
+    planned = scaled.crossJoin(F.broadcast(size)).withColumn("budget", budget)
+    epochs = F.floor(F.col("budget") / F.col("available_tokens") + F.lit(1e-12)).cast("int")
+    return planned.select("source", "budget", epochs.alias("epochs"), (F.col("budget") - F.col("available_tokens") * epochs).alias("rest"), (F.col("budget") >= most * F.lit(1 - 1e-9)).alias("binding"))
 
 
 class Mix:
@@ -70,29 +74,23 @@ class Mix:
         wanted = targets.select(normal_source().alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).filter("source IS NOT NULL AND target_share IS NOT NULL")
         self.targets = wanted.groupBy("source").agg(F.max("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
         self.available = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.count("*").alias("n_documents"))
-        rows = self.targets.join(self.available, "source", "left").limit(MAX_TARGETS + 1).collect()
-        if len(rows) > MAX_TARGETS:
-            raise ValueError(f"more than {MAX_TARGETS} sources in mix_targets")
-        have = {r.source: r.available_tokens or 0 for r in rows}
-        repeats = {r.source: r.max_repeats for r in rows}
-        plan = [(s, math.floor(b / have[s] + 1e-12), b - have[s] * math.floor(b / have[s] + 1e-12), b >= have[s] * repeats[s] * (1 - 1e-9)) for s, b in budgets(have, {r.source: (r.target_share, r.max_repeats) for r in rows}, total).items()]
-        self.plan = self.spark.createDataFrame(plan, "source string, epochs int, rest double, binding boolean")
+        self.plan = checkpoint(budgets(self.available, self.targets, total))
 
     def chosen(self) -> DataFrame:
         """doc_id, source, n_tokens, times: the documents of the mixture and how often each is used."""
-        docs = self.sized.join(F.broadcast(self.plan), "source")
-        sums = docs.groupBy("source", "bucket", "rest").agg(F.sum("n_tokens").alias("in_bucket"))
-        so_far = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket"))
-        ends = sums.withColumn("before", so_far - F.col("in_bucket")).select("source", "bucket", "before", "in_bucket")
-        placed = docs.join(ends, ["source", "bucket"])
-        whole = placed.filter(F.col("before") + F.col("in_bucket") <= F.col("rest")).withColumn("extra", F.lit(1))
-        none = placed.filter(F.col("before") >= F.col("rest")).withColumn("extra", F.lit(0))
-        edge = placed.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest")))
+        sums = self.sized.join(self.plan, "source").groupBy("source", "range", "rest").agg(F.sum("n_tokens").alias("in_range"))
+        before = F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")
+        # The range in which a source's rest ends: whole ranges before it are taken, those behind it are not. A source whose rest is all it has, or nothing, has none.
+        edge = sums.withColumn("before", before).filter("before < rest AND before + in_range > rest").select("source", F.col("range").alias("edge"), "before")
+        last = sums.withColumn("before", before).filter("before + in_range <= rest").groupBy("source").agg(F.max("range").alias("last"))
+        docs = self.sized.join(checkpoint(self.plan.join(edge, "source", "left").join(last, "source", "left")), "source")
+        at_edge = F.coalesce(F.col("range") == F.col("edge"), F.lit(False))
         inner = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key", "doc_id"))
         # The document that crosses the budget is taken if that brings the sum nearer to it.
-        edge = edge.withColumn("extra", (F.col("before") + inner - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
+        sorted_ = docs.filter(at_edge).withColumn("extra", (F.col("before") + inner - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
+        whole = docs.filter(~at_edge).withColumn("extra", F.coalesce(F.col("range") <= F.col("last"), F.lit(False)).cast("int"))
         cols = ["doc_id", "source", "n_tokens", (F.col("epochs") + F.col("extra")).alias("times")]
-        return whole.select(*cols).unionByName(none.select(*cols)).unionByName(edge.select(*cols)).filter("times > 0")
+        return whole.select(*cols).unionByName(sorted_.select(*cols)).filter("times > 0")
 
     def shares(self) -> DataFrame:
         """source, target_share, max_repeats, n_documents, available_tokens, used_tokens, most_times, unused_tokens, binding, actual_share, per source of either side.
@@ -100,7 +98,7 @@ class Mix:
         unused_tokens are those of documents that are not in the mixture; binding sources are used as often as they may be, and set its size.
         """
         used = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("used_tokens"), F.max("times").alias("most_times"), F.sum("n_tokens").alias("once"))
-        joined = self.targets.join(self.available, "source", "full_outer").join(used, "source", "left").join(F.broadcast(self.plan.select("source", "binding")), "source", "left")
+        joined = self.targets.join(self.available, "source", "full_outer").join(used, "source", "left").join(self.plan.select("source", "binding"), "source", "left")
         filled = joined.select(
             "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "available_tokens", "used_tokens", "most_times")],
             (F.coalesce("available_tokens", F.lit(0)) - F.coalesce("once", F.lit(0))).alias("unused_tokens"), F.coalesce("binding", F.lit(False)).alias("binding"),

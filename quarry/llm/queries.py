@@ -148,3 +148,8 @@ def p10_found(spark, d):
 @query
 def p10_statistics(spark, d):
     return _typed(spark, d)
+
+
+@query
+def p10_votes(spark, d):
+    return quality.vote_accuracies(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words", "word"))

@@ -6,8 +6,10 @@ may follow the predecessor's last token. Whether two tokens may follow each othe
 merges along their common border. Going back through the table from any prefix gives that prefix's exact encoding, so bytes can be
 appended without looking at what was encoded before, and an edit only re-encodes what comes after it, until the tables meet again.
 
-The vocabulary is read from a file of ranks; the tokenizer first cuts a text into words by a pattern, and merges never cross them,
-so tables are per word and the words of a corpus repeat: a bounded cache holds the encodings of frequent ones.
+The vocabulary is read from a file of ranks. One automaton over its tokens finds all that end at a byte, longest first, so that only real
+tokens are looked at. The tokenizer first cuts a text into words by a pattern, and merges never cross them, so tables are per word. A
+blank before another sign always opens a word, whatever stands around it; between two such blanks a text encodes alike everywhere, and as
+these units repeat in a corpus, a bounded cache holds the encodings of frequent ones.
 
 Null and empty texts have no tokens: an empty list. Texts are encoded whole, a word of any length included. Repeated rows give one row.
 """
@@ -17,19 +19,25 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow import map_lists
 from quarry.session import spread
 
 DEFAULT_FILE = "byte_bpe_50k.tiktoken"
 DEFAULT_FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern by which this tokenizer cuts a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 200_000
+#: Numbers in a batch of encodings, beyond which the next text begins another one.
+PART = 4_000_000
+#: Units, and words, whose encodings a task holds at once.
+CACHED_UNITS = 200_000
 
 
 class Vocabulary:
@@ -46,7 +54,11 @@ class Vocabulary:
                 left, right = self._last_merge(token, rank)
                 self.parts[rank] = (left, right)
                 self.merges[left, right] = rank
-        self._lasts: list[set[int]] = []
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+        if ranks:
+            self.automaton.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
@@ -105,39 +117,41 @@ class Prefixes:
         self.append(data)
 
     def append(self, data: bytes) -> None:
-        """Add bytes; what was stored for the old prefixes stays valid."""
-        v = self.vocabulary
+        """Add bytes; what was stored for the old prefixes stays valid. Only tokens that end in the new bytes are looked for."""
+        v, last, old = self.vocabulary, self.last, len(self.data)
         self.data += data
-        last = self.last
-        raw = bytes(self.data)
-        for end in range(len(last) + 1, len(raw) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = v.ranks.get(raw[start:end])
-                if token is not None and (not start or v.compatible(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("a byte is missing from the vocabulary")
+        base = max(0, old - v.longest + 1)
+        missing, compatible = old + 1, v.compatible
+        for at, (token, length) in v.automaton.iter(bytes(self.data[base:]).decode("latin-1")) if data else ():
+            # The tokens that end at a byte come longest first; the first one that may stand there is the only one.
+            if base + at + 1 == missing and (length == missing or compatible(last[missing - length - 1], token)):
+                last.append(token)
+                missing += 1
+        if len(last) != len(self.data):
+            raise ValueError("a byte is missing from the vocabulary")
 
     def edit(self, start: int, end: int, replacement: bytes) -> int:
         """Replace a range of bytes; gives the number of prefixes that had to be worked out again.
 
         Where the same token end is reached behind the edit with the same last token and as many bytes of equal history as the longest
-        token has, all that follows is as before.
+        token has, all that follows is as before. What follows is added in growing steps, so the work stays in proportion to what changes.
         """
         v, tail, old = self.vocabulary, bytes(self.data[end:]), self.last[end:]
         del self.data[start:], self.last[start:]
         self.append(replacement)
-        worked, same = len(replacement), 0
-        for i in range(len(tail)):
-            self.append(tail[i : i + 1])
-            worked += 1
-            same = same + 1 if self.last[-1] == old[i] else 0
-            if same >= v.longest:
-                self.data += tail[i + 1 :]
-                self.last += old[i + 1 :]
-                break
-        return worked
+        first = len(self.last)
+        done, same, step = 0, 0, 2 * v.longest
+        while done < len(tail):
+            self.append(tail[done : done + step])
+            for i in range(done, min(done + step, len(tail))):
+                same = same + 1 if self.last[first + i] == old[i] else 0
+                if same >= v.longest:
+                    worked = len(self.last) - start
+                    self.data += tail[len(self.last) - first :]
+                    self.last += old[len(self.last) - first :]
+                    return worked
+            done, step = done + step, 2 * step
+        return len(self.last) - start
 
     def encode(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes, of all by default."""
@@ -155,53 +169,105 @@ def load(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-def encoder(path: str, pattern: str = PATTERN) -> Callable[[str | None], list[int]]:
-    """A function from a text to its token ids."""
-    vocabulary, cut, known = load(path), regex.compile(pattern).findall, {}
+class Units(dict):
+    """The encoding of each unit: a text between two blanks that open words, ``opening`` being the blank before it or nothing."""
 
-    def encode(text: str | None) -> list[int]:
+    def __init__(self, path: str, opening: str, pattern: str = PATTERN, words: dict[str, list[int]] | None = None):
+        super().__init__()
+        self.vocabulary, self.cut, self.opening = load(path), regex.compile(pattern).findall, opening
+        self.words: dict[str, list[int]] = {} if words is None else words
+
+    def word(self, word: str) -> list[int]:
+        raw = word.encode("utf-8", "replace")
+        whole = self.vocabulary.ranks.get(raw)
+        if len(self.words) >= CACHED_UNITS:
+            self.words.clear()
+        found = self.words[word] = [whole] if whole is not None else Prefixes(self.vocabulary, raw).encode()
+        return found
+
+    def __missing__(self, unit: str) -> list[int]:
         ids: list[int] = []
-        for word in cut(text or ""):
-            found = known.get(word)
-            if found is None:
-                raw = word.encode("utf-8", "replace")
-                whole = vocabulary.ranks.get(raw)
-                found = [whole] if whole is not None else Prefixes(vocabulary, raw).encode()
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                known[word] = found
-            ids += found
+        for word in self.cut(self.opening + unit):
+            ids += self.words.get(word) or self.word(word)
+        if len(self) >= CACHED_UNITS:
+            self.clear()
+        self[unit] = ids
         return ids
 
-    return encode
 
+#: A blank that does not open a word, as no other sign follows it.
+_SHUT = regex.compile(r" (?:\s|$)")
 
-def encode_documents(documents: DataFrame, path: str = f"{DEFAULT_FOLDER}/{DEFAULT_FILE}") -> DataFrame:
-    """doc_id and ids, one row per row of documents. ``path`` has to exist on every executor."""
 
-    def make():
-        encode = encoder(path)
+def units(text: str) -> list[str]:
+    """The text cut before each blank that another sign follows; all but the first come without that blank."""
+    parts = text.split(" ")
+    if not _SHUT.search(text):
+        return parts
+    found = parts[:1]
+    for part in parts[1:]:
+        if part and not part[0].isspace():
+            found.append(part)
+        else:
+            found[-1] += " " + part
+    return found
+
 
-        def run(ids, texts):
-            return ((i, encode(t)) for i, t in zip(ids, texts))
+def encoder(path: str, pattern: str = PATTERN) -> Callable[[str | None], list[int]]:
+    """A function from a text to its token ids."""
+    first = Units(path, "", pattern)
+    later = Units(path, " ", pattern, first.words)
 
-        return run
+    def encode(text: str | None) -> list[int]:
+        if not text:
+            return []
+        head, *rest = units(text)
+        return [*first[head], *chain.from_iterable([later[unit] for unit in rest])]
 
-    return map_lists(spread(documents.select("doc_id", "text")), make, "doc_id bigint, ids array<int>")
+    return encode
 
 
-def count_tokens(rows: DataFrame, path: str = f"{DEFAULT_FOLDER}/{DEFAULT_FILE}") -> DataFrame:
-    """The rows (id, text) with n_tokens in place of the text."""
+def counter(path: str) -> Callable[[str | None], int]:
+    """A function from a text to its number of tokens."""
+    first = Units(path, "")
+    later = Units(path, " ", PATTERN, first.words)
 
-    def make():
-        encode = encoder(path)
+    def count(text: str | None) -> int:
+        if not text:
+            return 0
+        head, *rest = units(text)
+        return len(first[head]) + sum([len(later[unit]) for unit in rest])
 
-        def run(ids, texts):
-            return ((i, len(encode(t))) for i, t in zip(ids, texts))
+    return count
 
-        return run
 
-    return map_lists(spread(rows.select("doc_id", "text")), make, "doc_id bigint, n_tokens bigint")
+def encode_documents(documents: DataFrame, path: str = f"{DEFAULT_FOLDER}/{DEFAULT_FILE}") -> DataFrame:
+    """doc_id and ids, one row per row of documents. ``path`` has to exist on every executor.
+
+    The ids of a batch are laid out as one array of numbers with offsets, in parts of at most ``PART`` numbers.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def run(batches):
+        encode = encoder(path)
+
+        def laid(keys, ends, ids):
+            values = pa.ListArray.from_arrays(pa.array(np.array([0, *ends], dtype=np.int32)), pa.array(np.array(ids, dtype=np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), values.cast(schema.field("ids").type)], schema=schema)
+
+        for batch in batches:
+            keys, ends, ids = [], [], []
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                ids += encode(text)
+                keys.append(key)
+                ends.append(len(ids))
+                if len(ids) >= PART:
+                    yield laid(keys, ends, ids)
+                    keys, ends, ids = [], [], []
+            if keys:
+                yield laid(keys, ends, ids)
+
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def distinct_documents(encoded: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import docs, mixing, origin, quality, tokens
 
@@ -129,7 +130,7 @@ def test_types_of_an_empty_table(spark):
 
 
 def test_statistics():
-    s = quality.measure("One two, three.\nfour", frozenset(["one"]), {})
+    s = quality.Meter(frozenset(["one"]))("One two, three.\nfour")
     assert s[0] == 4 and s[1] == 3.75 and s[2] == pytest.approx(2 / 17) and s[3] == 0.5 and s[4] == 0.25
 
 
@@ -142,10 +143,21 @@ def test_held_out_labels(spark):
 
 
 # -- mixing ---------------------------------------------------------------------------------------------------------------
-def test_budgets():
-    assert mixing.budgets({"a": 100, "b": 10}, {"a": (1.0, 1), "b": (1.0, 3), "c": (2.0, 9)}) == {"a": 30.0, "b": 30.0}
-    assert mixing.budgets({}, {"a": (1.0, 1)}) == {}
-    assert mixing.budgets({"a": 100}, {"a": (0.5, 2)}, total=50) == {"a": 50.0}
+def test_budgets(spark):
+    def plan(available, targets, total=None):
+        have = spark.createDataFrame(list(available.items()), "source string, available_tokens bigint")
+        wanted = spark.createDataFrame([(s, *x) for s, x in targets.items()], "source string, target_share double, max_repeats int")
+        return {r.source: (round(r.budget, 6), r.epochs, round(r.rest, 6), r.binding) for r in mixing.budgets(have, wanted, total).collect()}
+
+    assert plan({"a": 100, "b": 10}, {"a": (1.0, 1), "b": (1.0, 3), "c": (2.0, 9)}) == {"a": (30.0, 0, 30.0, False), "b": (30.0, 3, 0.0, True)}
+    assert plan({}, {"a": (1.0, 1)}) == {}
+    assert plan({"a": 100}, {"a": (0.5, 2)}, total=50) == {"a": (50.0, 0, 50.0, False)}
+
+
+def test_no_range_of_keys_is_large_whatever_the_weight(spark):
+    for weight in (0.1, 1.0):
+        rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(weight).alias("weight"))
+        assert mixing.keyed(rows, 20).groupBy("range").count().agg(F.max("count")).first()[0] < 0.001 * 200_000
 
 
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="the vocabulary file is not here")
