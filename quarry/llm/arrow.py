@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -10,6 +11,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def seldom_collect() -> None:
+    """Let a Python worker look for cycles of garbage seldom: these functions make none, but hold many small objects that each search goes through."""
+    gc.freeze()
+    gc.set_threshold(500_000, 20, 100)
+
+
 def map_lists(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """``make()`` runs once per task and gives a function of a batch's columns, as lists, to output rows.
 
@@ -24,6 +31,7 @@ def map_lists(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
 
     def run(batches):
         f = make()
+        seldom_collect()
         for batch in batches:
             rows: list[tuple] = []
             size = 0

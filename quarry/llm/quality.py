@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -37,6 +38,8 @@ TYPES = ("prose", "list", "table", "code", "junk")
 MAX_COMMON_WORDS = 4000
 
 _ALNUM = re.compile(r"[^\W_]")
+#: Signs around a word; each counts as a symbol.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAG = re.compile(r"</?gist>")
@@ -57,6 +60,8 @@ _BULLET = re.compile(r"^(?:[-*+•·–—‣◦▪o](?:\s+\[[ xX]\])?|\[[ xX]\]
 _PATH = re.compile(r"^(?:[\w.-]+/)+[\w.-]+[,;.]?$")
 _KEY_VALUE = re.compile(r"^[\w-]+\s*[:=]\s+\S+(?:\s\S+){0,3}$|^[\w-]+\s*:\s*\S+$")
 _LOG = re.compile(r"^(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE)\b|at [\w.$<>]+ ?\([^)]*\)|File \"[^\"]+\", line \d+|Traceback \(|[0-9a-f]{6,16}:?\s+(?:[0-9a-f]{2}\s+){3}|\$ |>>> |diff --git|@@ -\d|[+-]{3} [ab]/)")
+#: What a line of a log can begin with.
+_LOG_FIRST = frozenset("[0123456789abcdefFIWEDT$>@+-")
 _CODE = re.compile(
     r"^(?:(?:export |async |public |private |static )*(?:def|function|class|interface|enum)\s+\w+.*[({:]|(?:const|let|var)\s+[\w{\[]|import\s+.+|from\s+\S+\s+import\s|return\b(?:\s+[\w.\[\]()'\"]+)?;?$|return\b.*[;()]|(?:if|for|while|switch|with|elif|except|catch)\b.*[:{)]$|(?:try|else|finally|default)\s*[:{]?$|(?:raise|throw|assert|del|break|continue|pass|case)\b.*[;:()]?$"
     r"|[}\])]+[;,)]*.*$|.*[{;]$|[\w.\[\]\"'?]+\s*(?:=|\+=|-=)\s*\S.*|[\w.?]+\(.*\)[;:]?$|@\w+$|[\w\"']+:\s*[\w.\[{\"'].*,$|(?:logger|console)\.\w+\(|#!|\"{3}|`+;?$|\$\{|<\w+[^>]*>.*|SELECT\s|INSERT\s)"
@@ -66,7 +71,7 @@ _CODE_SHAPE = re.compile(r"[{}()=;\[\]<>_`$\"'|]|\w\.\w")
 _SHAPED = re.compile(r"[\t|<>·»/•;]|\s\s|^.[.)]")
 _NAVIGATES = re.compile(r" [|·>»/•] ")
 _CELLS = re.compile(r"\s{2,}|\t")
-_SENTENCE_END = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+")
+_SENTENCE_END = re.compile(r"[.!?…。][\"'”’»)\]]*\s+")
 
 #: Columns of the statistics besides doc_id, in the order of the tuple that ``measure`` gives.
 FIELDS = (
@@ -92,6 +97,9 @@ class Runs(dict):
         if run.isalpha():
             number = self.numbers.get(run.lower(), 0)
             found = (True, 1, len(run), int(number > 0), 0, (number,))
+        elif (core := run.strip(_PUNCTUATION)).isalpha():
+            number = self.numbers.get(core.lower(), 0)
+            found = (True, 1, len(core), int(number > 0), len(run) - len(core), (number,))
         else:
             words = _WORD.findall(run)
             marks = tuple(self.numbers.get(w.lower(), 0) for w in words)
@@ -102,6 +110,12 @@ class Runs(dict):
         return found
 
 
+@lru_cache(maxsize=2)
+def runs_of(common: frozenset[str]) -> Runs:
+    """One for all tasks that a Python worker works off, as these are kept for several."""
+    return Runs(common)
+
+
 def pair_counts(documents: DataFrame, common: frozenset[str]) -> DataFrame:
     """a, b, n over all documents: how often common word number a directly stands before number b; b is 0 for how often a occurs at all.
 
@@ -110,7 +124,7 @@ def pair_counts(documents: DataFrame, common: frozenset[str]) -> DataFrame:
     base = len(common) + 1
 
     def make():
-        known = Runs(common)
+        known = runs_of(common)
 
         def run(texts):
             codes: list[int] = []
@@ -155,7 +169,7 @@ def _clean(line: str) -> str:
 
 def _kind(line: str, n: int, stops: bool) -> str:
     """What a line is by its form; ``n``: its words, ``stops``: whether it ends as a sentence does. ``text`` leaves it to the block it stands in."""
-    if _LOG.match(line):
+    if line[0] in _LOG_FIRST and _LOG.match(line):
         return "code"
     if n >= 8 and line[0].isupper() and not _SHAPED.search(line) and stops:
         return "text"
@@ -185,6 +199,16 @@ def _kind(line: str, n: int, stops: bool) -> str:
     return "text"
 
 
+def _sentences_of(block: str) -> list[str]:
+    """The block cut behind the blanks that follow the end of a sentence, each sentence with its mark and without what closes it."""
+    found, at = [], 0
+    for m in _SENTENCE_END.finditer(block):
+        found.append(block[at : m.start() + 1])
+        at = m.end()
+    found.append(block[at:])
+    return found
+
+
 def _wordless(line: str) -> bool:
     return not _ALNUM.search(line)
 
@@ -193,7 +217,7 @@ class Meter:
     """Gives each text its figures, in the order of FIELDS; it remembers the runs of characters that it has met."""
 
     def __init__(self, common: frozenset[str], pmi: np.ndarray | None = None):
-        self.known = Runs(common)
+        self.known = runs_of(common)
         self.pmi = (associations({}, len(common)) if pmi is None else pmi).tolist()
 
     def __call__(self, text: str | None) -> tuple:
@@ -257,7 +281,7 @@ class Meter:
         associated, pairs = 0.0, 0
         for block in blocks:
             joined = " ".join(block)
-            for sentence in _SENTENCE_END.split(joined):
+            for sentence in _sentences_of(joined):
                 words = [r for r in sentence.split() if known[r][0]]
                 if not words:
                     shares["noise"] += 1

@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.arrow import seldom_collect
 from quarry.session import spread
 
 DEFAULT_FILE = "byte_bpe_50k.tiktoken"
@@ -195,6 +196,13 @@ class Units(dict):
         return ids
 
 
+@lru_cache(maxsize=4)
+def units_of(path: str, pattern: str) -> tuple[Units, Units]:
+    """Those that begin a text and those behind a blank; one pair for all tasks that a Python worker works off."""
+    first = Units(path, "", pattern)
+    return first, Units(path, " ", pattern, first.words)
+
+
 #: A blank that does not open a word, as no other sign follows it.
 _SHUT = regex.compile(r" (?:\s|$)")
 
@@ -215,8 +223,7 @@ def units(text: str) -> list[str]:
 
 def encoder(path: str, pattern: str = PATTERN) -> Callable[[str | None], list[int]]:
     """A function from a text to its token ids."""
-    first = Units(path, "", pattern)
-    later = Units(path, " ", pattern, first.words)
+    first, later = units_of(path, pattern)
 
     def encode(text: str | None) -> list[int]:
         if not text:
@@ -229,8 +236,7 @@ def encoder(path: str, pattern: str = PATTERN) -> Callable[[str | None], list[in
 
 def counter(path: str) -> Callable[[str | None], int]:
     """A function from a text to its number of tokens."""
-    first = Units(path, "")
-    later = Units(path, " ", PATTERN, first.words)
+    first, later = units_of(path, PATTERN)
 
     def count(text: str | None) -> int:
         if not text:
@@ -250,6 +256,7 @@ def encode_documents(documents: DataFrame, path: str = f"{DEFAULT_FOLDER}/{DEFAU
 
     def run(batches):
         encode = encoder(path)
+        seldom_collect()
 
         def laid(keys, ends, ids):
             values = pa.ListArray.from_arrays(pa.array(np.array([0, *ends], dtype=np.int32)), pa.array(np.array(ids, dtype=np.int32)))
