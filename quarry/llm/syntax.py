@@ -1,10 +1,11 @@
 """Source files that do not parse (problem 2).
 
-Every file goes through the lexer of its extension's language with a pushdown stack of open delimiters. It finds unterminated literals,
-unbalanced delimiters, premature ends and conflict markers. For JavaScript and TypeScript the lexer is driven by a recogniser of the
-whole grammar (``ecma``) and its verdict stands. For Python and JSON the grammars of the standard library follow as the exact check;
-the lexer's reason is kept where both reject. In each language the lexer alone decides where nesting exceeds what the exact check can hold,
-which for JavaScript and TypeScript is two million calls.
+Every file goes through the lexer of its extension's language with a pushdown stack. It finds unterminated literals, unbalanced
+delimiters, premature ends, conflict markers and what the grammar has no place for. For JavaScript and TypeScript the lexer is driven by
+a recogniser of the whole grammar (``ecma``), for JSON it is a complete pushdown automaton (``pyauto.reject_json``); their verdicts stand.
+For Python (``pyauto.suspect``) a text that passes is valid; a suspect one, which for few texts is the recogniser's caution, is a candidate
+for the exact check that follows, the parser of the standard library. Where a text nests deeper than these can hold, which for
+JavaScript and TypeScript is two million calls, literals, delimiters and conflict markers decide.
 
 Nulls and empty contents are no files to check; other extensions are left out. A leading byte-order mark and any line end are
 accepted. Repeated rows give one row. Contents of any length are read whole.
@@ -13,14 +14,13 @@ accepted. Repeated rows give one row. Contents of any length are read whole.
 from __future__ import annotations
 
 import ast
-import json
 import re
 import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import ecma
+from quarry.llm import ecma, pyauto
 from quarry.llm.arrow import map_lists
 from quarry.session import spread
 
@@ -34,7 +34,6 @@ _PYTHON = re.compile(
     re.X,
 )
 _LONG = {q: re.compile(rf"[^\\{q}]*+(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^\\{q}]*+)*+{q}{q}{q}") for q in "\"'"}
-_JSON = re.compile(r"(?P<open>[\[{])|(?P<close>[\]}])|\"(?:[^\"\\\n]|\\.)*+(?P<end>\")?")
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
 
@@ -69,46 +68,26 @@ def lex_python(text: str) -> str | None:
     return "premature end" if last.endswith((":", "\\", "=", ",", ".", "(")) and not last.lstrip().startswith(('"', "'")) else None
 
 
-def lex_json(text: str) -> str | None:
-    """The same for JSON."""
-    stack: list[str] = []
-    for m in _JSON.finditer(text):
-        kind = m.lastgroup
-        if kind == "open":
-            stack.append(m.group())
-        elif kind == "close":
-            if not stack or stack.pop() != _PAIR[m.group()]:
-                return "unbalanced delimiter"
-        elif kind is None:
-            return "unterminated literal"
-    return "unbalanced delimiter" if stack else None
-
-
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
 def reject(text: str, extension: str) -> str | None:
     """Why the grammar of ``extension`` rejects the text, or None if it accepts it."""
     text = text.removeprefix("\ufeff")
     if extension in ("js", "jsx", "ts", "tsx"):
         found = ecma.reject(text, extension in ("ts", "tsx"), extension in ("jsx", "tsx"))
         return found and found[0]
-    lexed = (lex_python if extension == "py" else lex_json)(text)
-    try:
-        if extension == "py":
+    found = pyauto.suspect(text) if extension == "py" else pyauto.reject_json(text)
+    if found is None:
+        return None
+    if extension == "py":
+        try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
-        else:
-            json.loads(text, parse_constant=_no_constant)
-    except (RecursionError, MemoryError):
-        return lexed
-    except (SyntaxError, ValueError):
-        if conflict(text):
-            return "merge conflict"
-        return lexed or "unexpected token"
-    return None
+            return None
+        except (RecursionError, MemoryError):
+            return lex_python(text)
+        except (SyntaxError, ValueError):
+            pass
+    return "merge conflict" if conflict(text) else found
 
 
 def check_files(files: DataFrame) -> DataFrame:

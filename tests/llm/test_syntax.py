@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import ast
+import json
+import warnings
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import ecma, syntax
+from quarry.llm import ecma, pyauto, syntax
 
 VALID = {
     "js": [
@@ -129,3 +131,70 @@ def test_table(spark):
     rates = {r.language: (r.n_files, r.n_broken, r.rate, r.main_reason) for r in syntax.rates(syntax.check_files(files)).collect()}
     assert rates == {"python": (1, 1, 1.0, "unbalanced delimiter"), "typescript": (1, 0, 0.0, None), "javascript": (1, 1, 1.0, "type in JavaScript")}
     assert syntax.broken_files(files.limit(0)).count() == 0
+
+
+def _parses(text):
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def _loads(text):
+    def constant(name):
+        raise ValueError(name)
+
+    try:
+        json.loads(text, parse_int=str, parse_float=str, parse_constant=constant)
+    except ValueError:
+        return False
+    return True
+
+
+PYTHON = """
+@cached(size=3)
+async def walk(tree: dict[str, int], /, *rest: T, depth: int = 0, **more) -> "Tree | None":
+    r'''Text.'''
+    with open(tree) as f, (lock):
+        for i, (a, *b) in enumerate(x for x in f if x and not x[1:-1, ...]):
+            try:
+                yield from {**a, 'k': [lambda q, *r: q or r], f"{i!r:>{depth}} {a['x']}": await b}
+            except (KeyError, OSError) as e:
+                raise Error(f'{e}', *rest, key=1) from e
+            else:
+                del a.b, c[0]
+            finally:
+                x: int = 1 if a is not b else -c ** 2; y = z = (n := 3), {1, 2}
+    while depth < 3 <= 4: depth += 1
+    else:
+        return not a in b
+class A[T](Base, metaclass=M):
+    from .x import (y as z, w)
+    import a.b as c, d
+    assert isinstance(a, B), 'no' 'text'
+    global g
+"""
+PIECES = ["(", ")", "[", "]", "{", "}", ":", ",", ".", "=", "==", "*", "**", "-", "@", ";", " if ", " else ", " for ", " in ", " not ", " is ", "lambda ", " as ", "def ", "class ", "return ", "'", '"', "f'{", "}'", "\n", "\n    ", "\\", "1", "x", "None", "...", ":=", "->", "import ", "await ", "yield "]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.data())
+def test_python_that_passes_is_valid(data):
+    at = data.draw(st.integers(0, len(PYTHON)))
+    until = data.draw(st.integers(at, min(len(PYTHON), at + 12)))
+    text = PYTHON[:at] + data.draw(st.sampled_from(["", *PIECES])) + PYTHON[until:]
+    assert pyauto.suspect(text) is not None or _parses(text)
+
+
+def test_python_that_is_plain_passes():
+    assert pyauto.suspect(PYTHON) is None and _parses(PYTHON)
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(["{", "}", "[", "]", ",", ":", '"a"', '"\\n"', '"', "\\", "1", "-0.5e3", "01", "true", "null", "NaN", " ", "\n", "\x0b", "ü", "'x'", "1" * 5000]), max_size=12))
+def test_json_is_decided_by_the_automaton(pieces):
+    text = "".join(pieces)
+    assert (pyauto.reject_json(text) is None) == _loads(text)
