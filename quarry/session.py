@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Applied only where the caller's session has not set them.
 DEFAULTS = {
@@ -55,6 +56,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, such as one of ``shared_folder`` that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of one or two numbers up to which a counted side of a join is broadcast, some 10 MB.
+FEW = 500_000
+
+
+def settled(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """The rows, worked out once, with a broadcast hint if they are counted to be few; else the same join shuffles."""
+    done = checkpoint(rows)
+    return F.broadcast(done) if done.limit(few + 1).count() <= few else done
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a scan dealt out to all cores where the scan has fewer partitions than these, as a small or single-file table has.
 
