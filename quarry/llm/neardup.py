@@ -13,7 +13,7 @@ are broadcast, beyond that the same join shuffles.
    reach the threshold are verified on the sets themselves.
 5. ``expanded`` gives the pairs of records, where a result has to name them, or ``groups`` the class and group of each record.
 
-The bands find a pair at the threshold of 0.7 with a chance of 1 - (1 - 0.7^4)^32 = 0.99985, more similar ones with a higher one; the
+The bands find a pair at the threshold of 0.7 with a chance of 1 - (1 - 0.7^4)^40 = 0.99998, more similar ones with a higher one; the
 estimate lets pairs through from ``SLACK`` below the threshold, over four standard deviations. There is no cap on bands, keys or partners.
 
 Nulls: a record without code or with fewer than ``least`` tokens is in no pair and no group. Repeated rows count once. Ties cannot occur,
@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.session import checkpoint, shared_folder, spread
+from quarry.session import FEW, checkpoint, remove_folder, settled, shared_folder, spread
 
-BANDS, ROWS, BITS, BLOCK, SLACK = 32, 4, 2, 500, 0.2
-#: Rows of one or two numbers up to which a counted side of a join is broadcast, some 10 MB.
-FEW = 500_000
+BANDS, ROWS, BITS, BLOCK, SLACK = 40, 4, 2, 500, 0.2
+#: Copies beyond which a set of runs is given its representative by broadcast instead of a shuffle on the set.
+MANY = 10_000
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 TOKEN = re.compile(r"[A-Za-z0-9_]+", re.A)
@@ -152,17 +152,17 @@ def sketches(records: DataFrame, width: int = 3, least: int = 30) -> DataFrame:
     return spread(records).mapInArrow(run, spark_schema)
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """The rows, worked out once, with a broadcast hint if they are counted to be few."""
-    done = checkpoint(rows)
-    return F.broadcast(done) if done.limit(FEW + 1).count() <= FEW else done
-
-
 def classes(sketch: DataFrame) -> DataFrame:
-    """def_id, rep: each record and the smallest id with the same set of runs."""
+    """def_id, rep: each record and the smallest id with the same set of runs.
+
+    Grouping combines before it shuffles. Only sets with copies go back to the records, and those with very many, which are few, by broadcast.
+    """
     narrow = sketch.select("def_id", "set_key")
-    reps = narrow.groupBy("set_key").agg(F.min("def_id").alias("rep"))
-    return narrow.join(reps, "set_key").select("def_id", "rep").distinct()
+    reps = checkpoint(narrow.groupBy("set_key").agg(F.min("def_id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1"))
+    hot = settled(reps.filter(F.col("_n") > MANY).select("set_key", F.col("rep").alias("_hot")), FEW // 10)
+    marked = narrow.join(hot, "set_key", "left")
+    rest = marked.filter("_hot IS NULL").select("def_id", "set_key").join(reps.filter(F.col("_n") <= MANY).select("set_key", "rep"), "set_key", "left")
+    return marked.filter("_hot IS NOT NULL").select("def_id", F.col("_hot").alias("rep")).unionByName(rest.select("def_id", F.coalesce("rep", "def_id").alias("rep"))).distinct()
 
 
 def pairs_within(rows: DataFrame, sizes: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
@@ -218,14 +218,22 @@ class NearDuplicates:
         firsts = self.sketch.select("def_id", "band_keys").join(copies, "def_id", "left_anti")
         banded = firsts.select("def_id", F.explode("band_keys").alias("key"))
         self.links = checkpoint(similar(self.sketch, candidates(banded), threshold))
+        remove_folder(spark, folder)
 
     def expanded(self) -> DataFrame:
         """def_id_a, def_id_b, similarity of all pairs of records, copies included."""
         sizes = self.members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1")
         within = pairs_within(self.members, sizes, "rep", "def_id").withColumn("similarity", F.lit(1.0))
-        a = self.members.select(F.col("rep").alias("a"), F.col("def_id").alias("x"))
-        b = self.members.select(F.col("rep").alias("b"), F.col("def_id").alias("y"))
-        between = self.links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+        # A class of very many copies is cut into parts like a hot key, and each part meets the partners on its own.
+        parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+        cut = self.members.groupBy("rep").agg(F.count("*").alias("n")).select("rep", parts.alias("parts"))
+        own = self.members.join(cut, "rep").select("rep", F.pmod(F.hash("def_id"), F.col("parts")).alias("part"), "def_id")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        links = self.links.join(cut.withColumnRenamed("rep", "a"), "a").select("a", "b", "similarity", every.alias("part_a"))
+        links = links.join(cut.withColumnRenamed("rep", "b"), "b").select("a", "b", "similarity", "part_a", every.alias("part_b"))
+        x = own.select(F.col("rep").alias("a"), F.col("part").alias("part_a"), F.col("def_id").alias("x"))
+        y = own.select(F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("def_id").alias("y"))
+        between = links.join(x, ["a", "part_a"]).join(y, ["b", "part_b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
         return between.unionByName(within).select(F.col("a").alias("def_id_a"), F.col("b").alias("def_id_b"), "similarity")
 
     def groups(self) -> DataFrame:

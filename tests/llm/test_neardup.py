@@ -75,3 +75,15 @@ def test_empty(spark):
 def test_records_of(spark):
     rows = spark.createDataFrame([(1, "function", "a", 5), (2, "class", "a", 5), (3, "method", None, 5), (4, None, "a", 5)], "id bigint, definition_type string, source_code string, def_id int")
     assert [r.def_id for r in N.records_of(rows).collect()] == [1]
+
+
+def test_many_copies_of_linked_records(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "MANY", 10)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base[1:], "third"])]
+    records = [(100 * t + i, text) for t, text in enumerate(texts) for i in range(20 if t < 2 else 3)]
+    near = N.NearDuplicates(spark.createDataFrame(records, "def_id bigint, text string"))
+    found = [(r.def_id_a, r.def_id_b) for r in near.expanded().collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(records, 0.7)
+    assert {r.class_id for r in near.groups().collect()} == {0, 100, 200}
