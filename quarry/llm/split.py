@@ -52,38 +52,40 @@ def _joined(text: str, at: int) -> bool:
     return before == "\r" and after == "\n" or after in "‍️" or before == "‍" or bool(unicodedata.combining(after)) or "\U0001f3fb" <= after <= "\U0001f3ff"
 
 
-def cut(text: str, start: int, end: int, room: int, least: int) -> int:
-    """Where to cut the range: both halves keep at least ``least`` characters, and more than one ``room`` is left to cut."""
-    middle = (start + end) // 2
+def cut(text: str, start: int, end: int, left: int, right: int) -> int:
+    """Where to cut the range: the halves keep at least ``left`` and ``right`` characters."""
+    lowest, highest = start + left, end - right
+    middle = min(max((start + end) // 2, lowest), highest)
     reach = max((end - start) // 4, 1)
-    low, high = max(start + least, middle - reach), min(end - least, middle + reach)
-    wide = start + least, end - least
-    for levels, (a, b) in ((_LEVELS[:_LINE_LEVELS], (low, high)), (_LEVELS[:_LINE_LEVELS], wide), (_LEVELS[_LINE_LEVELS:], (low, high)), (_LEVELS[_LINE_LEVELS:], wide)):
+    near = max(lowest, middle - reach) - 1, min(highest, middle + reach) + 1
+    wide = lowest - 1, highest + 1
+    for levels, (a, b) in ((_LEVELS[:_LINE_LEVELS], near), (_LEVELS[:_LINE_LEVELS], wide), (_LEVELS[_LINE_LEVELS:], near), (_LEVELS[_LINE_LEVELS:], wide)):
         for level in levels:
             if (at := _nearest(level, text, a, b, middle)) is not None:
                 return at
-    at = middle
-    while at < end - least - 1 and _joined(text, at):
-        at += 1
-    return at if not _joined(text, at) else middle
+    for at in range(middle, highest + 1):
+        if not _joined(text, at):
+            return at
+    return middle
 
 
 def ranges(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """The ranges between the cuts, in order."""
+    """The ranges between the cuts, in order. Only the first one may be so short that the next could not begin with a whole overlap, so it is not."""
     if overlap < 0 or limit <= 2 * overlap:
         raise ValueError("the overlap must be smaller than half the limit")
-    room, least = limit - overlap, min(overlap, (limit - overlap) // 4)
-    least = max(least, 1)
+    room = limit - overlap
+    least = max(1, min(overlap, room // 4))
     if len(text) <= limit:
         return [(0, len(text))]
     found: list[tuple[int, int]] = []
     stack = [(0, len(text))]
     while stack:
         start, end = stack.pop()
-        if end - start <= room or end - start < 2 * least + 2:
+        if end - start <= room:
             found.append((start, end))
         else:
-            at = cut(text, start, end, room, least)
+            left = least if start else max(least, overlap)
+            at = cut(text, start, end, min(left, end - start - 1), max(1, min(least, end - start - left)))
             stack += [(at, end), (start, at)]
     return found
 

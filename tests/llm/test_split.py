@@ -23,6 +23,12 @@ def test_round_trip(text, limit, overlap):
     check(text, limit, overlap)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .\n\r\u0301\u200d", max_size=60), st.integers(0, 6), st.integers(1, 4))
+def test_no_piece_exceeds_the_smallest_limits(text, overlap, more):
+    check(text, 2 * overlap + more, overlap)
+
+
 def test_cuts_at_line_ends():
     text = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(200))
     parts = check(text, 500, 50)
