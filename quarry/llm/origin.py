@@ -2,8 +2,9 @@
 
 One Aho-Corasick automaton holds the phrases of generation notices and of foreign projects' headers. It runs over the comment lines
 of a file's header; a hit is verified by the phrase's own condition, as hand-written code speaks of generated ids too. Path
-rules follow for vendored directories, lock files and the suffixes of tools. Contents settle the rest: the layout of lock files,
-code without line structure (minified), and files that consist of literals alone (data stored as code). Long literals are taken
+rules follow for vendored directories, lock files and the suffixes of tools. They decide first. What neither can tell, as it bears no
+notice and no telling name, is settled by contents, the kinds ``lock``, ``minified`` and ``data`` of ``by_content``: the layout of lock
+files, code without line structure, and files that consist of literals alone (data stored as code). Long literals are taken
 out before the layout is judged, so that hand-written code with one long literal stays.
 
 Nulls: a file without content is not judged, a null path counts as an unknown name. Empty files are hand-written. Repeated rows
@@ -65,14 +66,16 @@ LOCK_NAMES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-loc
 CODE = frozenset("py js jsx ts tsx mjs cjs css sql sh java go rb php c cc cpp h hpp cs rs kt swift".split())
 _GENERATED_NAME = re.compile(r"\.(?:generated|g|gen|pb|designer|auto)\.\w+$|_(?:generated|pb2?|pb2_grpc|gen|g)\.\w+$|\.pb\w*\.\w+$")
 _MINIFIED_NAME = re.compile(r"\.(?:min|bundle|chunk|prod)\.\w+$")
-_HASHED_NAME = re.compile(r"[-.](?=[0-9a-f]*\d)[0-9a-f]{8,20}\.\w+$")
 _LOCK_NAME = re.compile(r"[.-]lock\.(?:json|ya?ml)$|\.lock$")
 _LOCK_ENTRY = re.compile(r'"version" *: *"[^"\n]*"[^{}]{0,300}?"integrity" *: *"|"resolved" *: *"http|^\s+integrity sha\d+-|^checksum = "', re.M)
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|\"{3}|'{3}|%)")
 _IMPORTING = re.compile(r"^\s*(?:import\b|from\b|export\b.*\bfrom\b|require\b|using\b|package\b|['\"]use strict)")
-_LITERAL = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`")
-_COMMENTS = re.compile(r"/\*[\s\S]*?\*/|(?<![:\"'\w])//[^\n]*|^\s*#[^\n]*", re.M)
+#: Literals and comments, whichever begins first: a literal may hold what looks like a comment, and a comment a quote.
+_WATER = re.compile(
+    r"(?P<literal>\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`)|/\*[\s\S]*?\*/|(?<![:\"'\w])//[^\n]*|^\s*#[^\n]*", re.M
+)
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)(?![\w.])")
+_BINDS = re.compile(r"=|\bexport\s+default\b")
 _ACTS = re.compile(r"\b(?:def|function|class|return|if|for|while|interface|enum|lambda|SELECT|switch|await|extends|echo)\b|=>|[A-Za-z_]\w*\(")
 
 
@@ -152,17 +155,21 @@ def by_content(text: str, path: str) -> str | None:
         if entries >= 3 and (entries * 6 >= lines or _LOCK_NAME.search(name)):
             return "lock"
         return None
-    if extension not in CODE or len(text) < 400:
+    # An object that nothing is made of is configuration under a wrong name, not data that code stores.
+    if extension not in CODE or text.lstrip("\ufeff \t\r\n")[:1] in ("{", "["):
         return None
-    bare = _LITERAL.sub("''", _COMMENTS.sub("", text))
+    bare = _WATER.sub(lambda m: "''" if m.lastgroup else "", text)
     bones = re.sub(r"\s+", "", bare)
     if len(bones) >= 300 and extension not in ("sh", "sql"):
         longest = max(map(len, bare.split("\n")))
         on_long = sum(len(x) for x in bare.split("\n") if len(x) > 400)
         if on_long > 0.6 * len(bare) and longest > 500 and bare.count(" ") < 0.1 * len(bare) and len(_ACTS.findall(bare)) >= 5:
             return "minified"
+    # Literals that are bound to a name or exported; comments, or the text that opens a module, are no data.
+    numbers = sum(map(len, _NUMBER.findall(bare)))
+    strings = sum(len(m.group()) for m in _WATER.finditer(text) if m.lastgroup)
     words = re.sub(r"[\W\d]+", "", _NUMBER.sub("", bare))
-    if len(words) < 0.08 * len(text) and len(_ACTS.findall(bare)) <= 1:
+    if len(words) < 0.08 * len(text) and len(_ACTS.findall(bare)) <= 1 and _BINDS.search(bare) and numbers + strings > 0.4 * (len(bones) + strings):
         return "data"
     return None
 
@@ -170,10 +177,7 @@ def by_content(text: str, path: str) -> str | None:
 def kind_of(text: str, path: str | None, automaton: ahocorasick.Automaton) -> str | None:
     """generated, vendored, lock, minified or data; None for hand-written files."""
     path = path or ""
-    kind = by_header(text, automaton) or by_content(text, path) or by_path(path)
-    if kind is None and _HASHED_NAME.search(path) and max(map(len, text.split("\n"))) > 500:
-        kind = "minified"
-    return kind
+    return by_header(text, automaton) or by_path(path) or by_content(text, path)
 
 
 def origins(files: DataFrame) -> DataFrame:

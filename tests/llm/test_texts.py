@@ -80,6 +80,12 @@ ORIGINS = [
     ("r/src/a.js", f"const blob = '{BLOB}';\n" + HAND, None),
     ("r/src/a.js", f"export default 'data:font/bin;base64,{BLOB}';\n", "data"),
     ("r/src/a.py", "TABLE = [\n" + "    1.5, 2.25, 3.125,\n" * 60 + "]\n", "data"),
+    ("r/src/a.py", "TABLE = [\n" + "    1.5, 2.25, 3.125,\n" * 14 + "]\n", "data"),
+    ("r/src/a.js", "export default 'data:font/bin;base64,AA+//BB/\\*CC" + "//" * 40 + BLOB + "';\n", "data"),
+    ("r/src/a.ts", '{\n  "a0": false,\n' + '  "b": "sha512-' + BLOB + '",\n' * 3 + '  "c": 1\n}', None),
+    ("r/src/a.py", "# " + "a comment alone\n# " * 60, None),
+    ("r/src/a.py", '"""' + "The text that opens a module. " * 40 + '"""\n', None),
+    ("r/src/a.py", " \n", None),
     ("r/a.md", "| 1 | 2 |\n" * 100, None),
     ("r/src/a.py", "", None),
     (None, HAND, None),
