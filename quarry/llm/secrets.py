@@ -2,7 +2,8 @@
 
 Texts are cut into chunks at line ends. Each batch of chunks gets a trigram index; the trigrams that a detector's expression requires
 select its candidate chunks by intersected postings, and only these are searched with the expression, with as many lines before and
-after them as a match of it can span, so that nothing depends on where a chunk ends. What a detector takes for a
+after them as a match of it can span, so that nothing depends on where a chunk ends. One detector, of random characters behind a short name of any house's own format, requires no
+trigram; its candidates are all chunks. What a detector takes for a
 value is then judged: placeholders, references, names, digests and the like are no credentials. The index lives within its batch, so
 that no posting ever crosses the network, and its size is bounded by the batch's.
 
@@ -48,8 +49,18 @@ DETECTORS: list[tuple[str, str]] = [
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>npm_[A-Za-z0-9]{30,})"),
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})"),
     ("provider", r"(?<![A-Za-z0-9_])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,})"),
-    ("provider", r"(?<![A-Za-z0-9_])(?P<v>(?:mgt|tok|key|svc|app)_(?:prod|live|test|dev)_[A-Za-z0-9]{20,})"),
-    ("provider", r"(?<![A-Za-z0-9_])(?P<v>(?:ox1\.|vlt\.s\.|qvk-)[A-Za-z0-9_\-]{16,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>sk-(?:proj|svcacct|admin|ant)-[A-Za-z0-9_-]{20,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>(?:hf_|dop_v1_|doo_v1_|dor_v1_|dckr_pat_|glsa_|lin_api_|whsec_|figd_|sntrys_|pul-|nvapi-|r8_)[A-Za-z0-9_-]{24,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>ya29\.[A-Za-z0-9_-]{20,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>sq0(?:atp|csp|idp)-[A-Za-z0-9_-]{22,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>pypi-AgEI[A-Za-z0-9_-]{40,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>xapp-\d-[A-Za-z0-9-]{20,})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>NRAK-[A-Z0-9]{27})"),
+    ("provider", r"(?<![A-Za-z0-9_])(?P<v>ATATT3x[A-Za-z0-9_=-]{40,})"),
+    ("webhook", r"hooks\.slack\.com/services/(?P<v>T[A-Za-z0-9]{6,}/B[A-Za-z0-9]{6,}/[A-Za-z0-9]{16,})"),
+    ("webhook", r"discord(?:app)?\.com/api/webhooks/\d{10,}/(?P<v>[A-Za-z0-9_-]{40,})"),
+    ("opaque", r"(?P<q>[\"'`])(?P<v>[a-z][a-z0-9]{1,7}(?:[._\-][a-z]{1,8})?[._\-](?P<o>[A-Za-z0-9_\-]{18,}))(?P=q)"),
     ("private key", r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),
     ("assigned", rf"(?i)(?<![\w\-])(?P<k>[\w\-]*{_KEY})[\"']?\]?{_TYPE}\s*(?:=>|:=|[=:](?![=:]))\s*(?:\(\s*)?[rbuf]?{_QUOTED}"),
     ("assigned", r"(?i)(?<![\w\-])(?P<k>[\w\-]*(?:_pass|\bpass|_pw|[a-z](?-i:Pass)))[\"']?\]?\s*(?:=>|:=|[=:](?![=:]))\s*" + _QUOTED),
@@ -108,7 +119,11 @@ def _mixed(value: str) -> bool:
 def credential(kind: str, value: str, key: str | None, plain: bool) -> bool:
     """Whether what a detector took for a value is written out and works."""
     value = value.strip()
-    if kind in ("provider", "private key"):
+    if kind == "opaque":
+        # A house's own format: a short name and a run of random characters, which mixes upper and lower case and digits as words, digests and ids do not.
+        run = re.search(r"[A-Za-z0-9_\-]{18,}$", value).group()
+        return all(re.search(c, run) for c in ("[a-z]", "[A-Z]", "[0-9]")) and entropy(run) >= 3.5 and not _DIGEST.match(value) and not re.search(r"example|x{6,}", value, re.I)
+    if kind in ("provider", "private key", "webhook"):
         body = value.rpartition("_")[2]
         return kind == "private key" or len(set(body)) > 4 and not re.search(r"example|x{6,}|0{8,}", value, re.I)
     if len(value) < 4 or _PLACEHOLDER.match(value) or _REFERENCE.match(value) or _DIGEST.match(value):
@@ -168,7 +183,7 @@ _JOIN = re.compile(r"\s*\+\s*(?:\\?\n\s*)?[rbuf]?([\"'])((?:(?!\1)[^\\\n]|\\.)+)
 
 
 def build_plan() -> trigrams.Plan:
-    return trigrams.Plan([trigrams.required(p, re.M) for _, p in DETECTORS])
+    return trigrams.Plan([None if kind == "opaque" else trigrams.required(p, re.M) for kind, p in DETECTORS])
 
 
 def chunks_of(text: str, size: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -295,7 +310,9 @@ def search(texts: list[str | None], paths: list[str | None], plan: trigrams.Plan
     spans: list[list] = [[] for _ in texts]
     for number in range(len(DETECTORS)):
         ranges: list[list[int]] = []
-        for c in index.candidates(number).tolist():
+        if plan.queries[number] is None:
+            ranges = [[i, 0, len(text)] for i, text in enumerate(texts) if text]
+        for c in index.candidates(number).tolist() if not ranges else ():
             i, a, b = places[c]
             if breaks := _BREAKS[number]:
                 # A match may begin in lines before the chunk that has its trigrams. Ranges that one match can join are searched as one.

@@ -115,12 +115,12 @@ def required(pattern: str, flags: int = 0) -> list[frozenset[bytes]]:
 
 
 class Plan:
-    """The queries of several patterns, with a table from each possible trigram to its number among the wanted ones."""
+    """The queries of several patterns, with a table from each possible trigram to its number among the wanted ones. None stands for a pattern that requires no trigram."""
 
-    def __init__(self, queries: list[list[frozenset[bytes]]]):
-        wanted = sorted({t for q in queries for s in q for t in s})
+    def __init__(self, queries: list[list[frozenset[bytes]] | None]):
+        wanted = sorted({t for q in queries if q is not None for s in q for t in s})
         self.numbers = {t: i + 1 for i, t in enumerate(wanted)}
-        self.queries = [[sorted(self.numbers[t] for t in s) for s in q] for q in queries]
+        self.queries = [None if q is None else [sorted(self.numbers[t] for t in s) for s in q] for q in queries]
         self.table = np.zeros(1 << 24, dtype=np.uint16)
         for t, i in self.numbers.items():
             self.table[t[0] << 16 | t[1] << 8 | t[2]] = i
@@ -130,6 +130,7 @@ class Index:
     """Postings of a plan's trigrams over a list of chunks."""
 
     def __init__(self, plan: Plan, chunks: list[str]):
+        self.size = len(chunks)
         raw = [c.lower().encode("utf-8", "surrogatepass") for c in chunks]
         starts = np.zeros(len(raw) + 1, dtype=np.int64)
         np.cumsum([len(r) + 2 for r in raw], out=starts[1:])
@@ -148,7 +149,9 @@ class Index:
                 self.postings[int(part[0])] = chunk_ids
 
     def candidates(self, query: int) -> np.ndarray:
-        """The chunks that may match the pattern of this number."""
+        """The chunks that may match the pattern of this number: all of them, where the pattern requires no trigram."""
+        if self.plan.queries[query] is None:
+            return np.arange(self.size)
         none = np.zeros(0, dtype=np.int64)
         found = []
         for conjunction in self.plan.queries[query]:
