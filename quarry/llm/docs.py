@@ -2,7 +2,7 @@
 
 Island grammars, one per family of languages: only documentation, annotations, signatures and balanced bodies are parsed; the rest
 is water that is skipped over. In Python the documentation is the string that opens the body, or the comment lines directly before
-the definition; elsewhere it is the comment directly before. The source's documentation is only read where docstring is null or blank.
+the definition; elsewhere, in languages with brackets around parameters and bodies, it is the comment directly before. The source's documentation is only read where docstring is null or blank.
 
 The cleaned description drops, line by line, what describes nothing: parameters and results, marks of pending work, directives to
 tools, licences, rulers, commented-out code, and the mere name. A pair needs ``min_words`` words after that.
@@ -14,6 +14,7 @@ length are read whole. Types other than function and method are left out.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,15 @@ _ANNOTATION = re.compile(r"@[\w.$]+")
 _PY_DEF = re.compile(r"(?:async\s+)?(?:def|class)\s+[^\W\d]\w*\s*")
 _PY_STRING = re.compile(r"[rRuUbB]{0,2}(?:\"{3}([\s\S]*?)(?:\"{3}|\Z)|'{3}([\s\S]*?)(?:'{3}|\Z)|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)')")
 _BALANCE = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|\#[^\n]*|[()\[\]{}]")
+_PY_HEAD = re.compile(r"(?:\"[^\"\n]*\"|'[^'\n]*'|[^:\n\[{(\"'])*(?:[\[{(]|:)")
+_PY_BLANK = re.compile(r"(?:\s|#[^\n]*(?=\n))*")
+_PY_GOES_ON = re.compile(r"\s*[+%.\[(]")
+#: Strings, templates and comments of languages with braces, and their brackets.
+_BRACED = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\[\s\S])*+`|/\*[\s\S]*?(?:\*/|\Z)|(?<![:\\])//[^\n]*|[()\[\]{}]")
+#: What can matter in a signature: brackets, an arrow, the quotes around the body of a function in SQL, and the end of a declaration.
+_HEAD_SIGN = re.compile(r"=>|\$\$|[(\[{;]|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|/\*[\s\S]*?(?:\*/|\Z)|//[^\n]*")
+_OPENS_TYPE = re.compile(r"[:|&=<,]\s*\Z")
+_ARROW_OF_TYPE = re.compile(r"\s*[\w$.<>\[\]| ]+\s*=(?![=>])")
 _LEADING = re.compile(r"\s*(?:/\*[\s\S]*?(?:\*/|\Z)|(?://|#(?!\[))[^\n]*(?:\n\s*(?://|#(?!\[))[^\n]*)*|--[^\n]*(?:\n\s*--[^\n]*)*)")
 
 
@@ -59,33 +69,83 @@ def leading_comment(source: str) -> tuple[str | None, int]:
             return found, at
 
 
-def python_docs(source: str) -> str | None:
-    """The string that opens the body, else the comment before the definition."""
-    before, at = leading_comment(source)
-    m = _PY_DEF.match(source, at)
-    if m is None:
-        return before
-    at = m.end()
+@dataclass
+class Island:
+    """A definition's documentation in its source, its signature and its body, without the water around them."""
+
+    doc: str | None
+    signature: str
+    body: str
+
+
+def python_island(source: str, before: str | None, at: int) -> Island:
+    """The documentation is the string that opens the body, else the comment before the definition."""
+    start, at = at, _PY_DEF.match(source, at).end()
     if source[at : at + 1] == "[":
         at = _WATER.match(source, balanced(source, at)).end()
     if source[at : at + 1] == "(":
         at = balanced(source, at)
-    colon = re.compile(r"[^:\n\[{(]*(?:[\[{(]|:)").match(source, at)
+    colon = _PY_HEAD.match(source, at)
     while colon is not None and source[colon.end() - 1] != ":":
         at = balanced(source, colon.end() - 1)
-        colon = re.compile(r"[^:\n\[{(]*(?:[\[{(]|:)").match(source, at)
-    if colon is not None:
-        body = re.compile(r"(?:\s|#[^\n]*(?=\n))*").match(source, colon.end())
-        if m := _PY_STRING.match(source, body.end()):
-            if not re.compile(r"\s*[+%.\[(]").match(source, m.end()):
-                return next(x for x in m.groups() if x is not None)
-    return before
+        colon = _PY_HEAD.match(source, at)
+    if colon is None:
+        return Island(before, source[start:at], "")
+    body = _PY_BLANK.match(source, colon.end()).end()
+    found = Island(before, source[start : colon.end() - 1].strip(), source[body:])
+    if (m := _PY_STRING.match(source, body)) and not _PY_GOES_ON.match(source, m.end()):
+        found.doc = next(x for x in m.groups() if x is not None)
+        found.body = source[m.end() :].lstrip("\r\n")
+    return found
+
+
+def braced_island(source: str, before: str | None, at: int) -> Island:
+    """For languages with brackets around a body: the signature reaches to the first bracket of a body, an arrow's expression, or the end.
+
+    Parameters, types and defaults are balanced brackets within the signature; a brace opens the body if it follows parameters, an arrow
+    or the name of a type, and no operator or colon.
+    """
+    start, params = at, False
+    while m := _HEAD_SIGN.search(source, at):
+        sign = m.group()
+        if sign == "=>":
+            body = _WATER.match(source, m.end()).end()
+            end = braced_end(source, body) if source[body : body + 1] == "{" else len(source)
+            if _ARROW_OF_TYPE.match(source, m.end()) and "=" in source[end:]:
+                at = end
+                continue
+            return Island(before, source[start : m.start()].strip(), source[body:end])
+        if sign == "{" and params and not _OPENS_TYPE.search(source, start, m.start()):
+            end = braced_end(source, m.start())
+            return Island(before, source[start : m.start()].strip(), source[m.start() : end])
+        if sign in ("(", "[", "{"):
+            params = params or sign == "("
+            at = braced_end(source, m.start())
+        elif sign in ("$$", ";") and params:
+            return Island(before, source[start : m.start()].strip(), source[m.start() :])
+        else:
+            at = m.end()
+    return Island(before, source[start:].strip() if params else "", "")
 
 
-def source_docs(source: str) -> str | None:
-    """The documentation inside a definition's source code."""
-    _, at = leading_comment(source)
-    return python_docs(source) if _PY_DEF.match(source, at) else leading_comment(source)[0]
+def braced_end(text: str, at: int) -> int:
+    """Behind the bracket that closes the one at ``at``, past strings, templates and comments; or the end of the text."""
+    depth = 0
+    for m in _BRACED.finditer(text, at):
+        c = m.group()
+        if c in ("(", "[", "{"):
+            depth += 1
+        elif c in (")", "]", "}"):
+            depth -= 1
+            if not depth:
+                return m.end()
+    return len(text)
+
+
+def island(source: str) -> Island:
+    """The island of a definition's source code."""
+    before, at = leading_comment(source)
+    return python_island(source, before, at) if _PY_DEF.match(source, at) else braced_island(source, before, at)
 
 
 # -- descriptions ---------------------------------------------------------------------------------------------------------
@@ -176,7 +236,7 @@ def meaningful(description: str, name: str | None, min_words: int) -> bool:
 
 def pair(docstring: str | None, source: str | None, name: str | None, min_words: int) -> str | None:
     """The description of one definition, or None if it has none with a meaning."""
-    doc = docstring if docstring is not None and docstring.strip() else source and source_docs(source)
+    doc = docstring if docstring is not None and docstring.strip() else source and island(source).doc
     if not doc:
         return None
     text = described(doc, name)
@@ -184,7 +244,7 @@ def pair(docstring: str | None, source: str | None, name: str | None, min_words:
 
 
 def code_pairs(definitions: DataFrame, min_words: int = 4, with_code: bool = True) -> DataFrame:
-    """definition_id, name, description and, on demand, source_code: functions and methods with a meaningful documentation."""
+    """definition_id, name, description and, on demand, source_code and its signature: functions and methods with a meaningful documentation."""
     chosen = definitions.filter(F.col("definition_type").isin("function", "method"))
     blank = F.coalesce(F.trim(F.translate("docstring", "\t\n\r\f\v", "     ")), F.lit("")) == ""
     needs_code = F.col("source_code") if with_code else F.when(blank, F.col("source_code"))
@@ -195,9 +255,9 @@ def code_pairs(definitions: DataFrame, min_words: int = 4, with_code: bool = Tru
             for i, name, doc, code in zip(ids, names, docs, codes):
                 text = pair(doc, code, name, min_words)
                 if text is not None:
-                    yield (i, name, text, code) if with_code else (i, name, text)
+                    yield (i, name, text, code, code and island(code).signature) if with_code else (i, name, text)
 
         return run
 
-    schema = "definition_id bigint, name string, description string" + ", source_code string" * with_code
+    schema = "definition_id bigint, name string, description string" + ", source_code string, signature string" * with_code
     return map_lists(spread(columns), make, schema)

@@ -44,6 +44,26 @@ def test_pairs(doc, code, name, wanted):
     assert docs.pair(doc, code, name, 4) == wanted
 
 
+ISLANDS = [
+    ("/** D */\n@dec({a: 1})\nexport async function f<T>(a: {b: string} = {b: '}'}, c?: number): Promise<Array<T>> {\n  return `${a}}`;\n}\n", "export async function f<T>(a: {b: string} = {b: '}'}, c?: number): Promise<Array<T>>", "{\n  return `${a}}`;\n}"),
+    ("const f = (a, {b}) => {\n  // }\n  return a;\n};", "const f = (a, {b})", "{\n  // }\n  return a;\n}"),
+    ("static get = async a => a + 1", "static get = async a", "a + 1"),
+    ("get x() { return { y: 1 } }", "get x()", "{ return { y: 1 } }"),
+    ("run_it() {\n  echo '}'\n}", "run_it()", "{\n  echo '}'\n}"),
+    ("func (s *Store) Get(id int) (*Row, error) {\n\treturn nil, nil\n}", "func (s *Store) Get(id int) (*Row, error)", "{\n\treturn nil, nil\n}"),
+    ("CREATE FUNCTION f(a int) RETURNS int AS $$ SELECT 1 $$ LANGUAGE sql;", "CREATE FUNCTION f(a int) RETURNS int AS", "$$ SELECT 1 $$ LANGUAGE sql;"),
+    ("abstract m(x: { y: number }): void;", "abstract m(x: { y: number }): void", ";"),
+    ("@a(b=')')\nasync def f[T](self, x: dict[str, int] = {}) -> 'a: b':\n    '''D'''\n    return x\n", "async def f[T](self, x: dict[str, int] = {}) -> 'a: b'", "    return x\n"),
+    ("x", "", ""), ("", "", ""), ("f(" + "(" * 500, "f(" + "(" * 500, ""),
+]
+
+
+@pytest.mark.parametrize(("source", "signature", "body"), ISLANDS)
+def test_islands(source, signature, body):
+    found = docs.island(source)
+    assert (found.signature, found.body) == (signature, body)
+
+
 def test_pairs_table(spark):
     rows = [(1, "f", "function", LONG, None, "x"), (1, "f", "function", LONG, None, "x"), (2, "C", "class", LONG, None, "x"), (3, None, "method", None, None, "x"), (4, "g", None, LONG, None, "x"), (5, "h", "method", " \n", f"/** {LONG} */\nh() {{}}", "x")]
     d = spark.createDataFrame(rows, "id bigint, name string, definition_type string, docstring string, source_code string, description string")
