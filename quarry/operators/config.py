@@ -41,9 +41,9 @@ def parse_packages(files: DataFrame) -> DataFrame:
 
 
 def parse_tsconfigs(files: DataFrame) -> DataFrame:
-    """path, dir, extends, base_url, paths, references of tsconfig*.json files, comments allowed."""
+    """path, dir, extends, base_url, paths, options (each as JSON text), references of tsconfig*.json files, comments allowed."""
     t = named_files(files, "tsconfig*.json").withColumn("j", F.from_json(strip_json_comments(F.col("content")), TSCONFIG_SCHEMA)).filter("j IS NOT NULL")
-    return t.select("path", dirname(F.col("path")).alias("dir"), F.col("j.extends").alias("extends"), F.col("j.compilerOptions.baseUrl").alias("base_url"), F.col("j.compilerOptions.paths").alias("paths"), F.transform(F.coalesce("j.references", F.array().cast("array<struct<path:string>>")), lambda r: r["path"]).alias("references"))
+    return t.select("path", dirname(F.col("path")).alias("dir"), F.col("j.extends").alias("extends"), F.col("j.compilerOptions.baseUrl").alias("base_url"), F.col("j.compilerOptions.paths").alias("paths"), F.from_json(F.get_json_object(strip_json_comments(F.col("content")), "$.compilerOptions"), "map<string,string>").alias("options"), F.transform(F.coalesce("j.references", F.array().cast("array<struct<path:string>>")), lambda r: r["path"]).alias("references"))
 
 
 def workspace_type(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -88,22 +88,35 @@ def monorepo_class(packages: DataFrame) -> DataFrame:
     return roots.select("root", F.when(F.coalesce("n", F.lit(0)) <= 1, "single_package").when(F.col("linked"), "package_based_monorepo").otherwise("direct_import_monorepo").alias("class"))
 
 
-def extended_options(configs: DataFrame, max_depth: int = 50) -> DataFrame:
-    """path, base_url, paths: compiler options with those of the extended configurations, the nearer ones winning; packages' configurations and cycles end a chain."""
+def merged_options(own: Column, parent: Column) -> Column:
+    """Options by name, those of the nearer configuration first."""
+    none = F.create_map().cast("map<string,string>")
+    return F.map_zip_with(F.coalesce(own, none), F.coalesce(parent, none), lambda k, a, b: F.coalesce(a, b))
+
+
+def extended_options(configs: DataFrame) -> DataFrame:
+    """path, base_url, paths, options: compiler options with those of the extended configurations, the nearer ones winning by name; packages' configurations and cycles end a chain.
+
+    Rounds go on until no chain does: a chain visits a configuration once, so there are at most as many rounds as configurations.
+    """
     step = F.when(F.col("extends").startswith("."), F.col("extends"))
     target = normalize_path(F.concat_ws("/", F.col("dir"), F.when(step.endswith(".json"), step).otherwise(F.concat(step, F.lit(".json")))))
-    own = checkpoint(configs.select("path", "base_url", "paths", target.alias("next")))
+    options = F.col("options") if "options" in configs.columns else F.lit(None).cast("map<string,string>")
+    own = checkpoint(configs.select("path", "base_url", "paths", options.alias("options"), F.when(step.isNotNull(), target).alias("next")))
+    parent = own.select(F.col("path").alias("p"), F.col("base_url").alias("b2"), F.col("paths").alias("p2"), F.col("options").alias("o2"), F.col("next").alias("n2"))
     merged = own.withColumn("seen", F.array("path"))
-    for _ in range(max_depth):
-        if merged.filter("next IS NOT NULL").isEmpty():
-            break
-        parent = own.select(F.col("path").alias("p"), F.col("base_url").alias("b2"), F.col("paths").alias("p2"), F.col("next").alias("n2"))
+    while not merged.filter("next IS NOT NULL").isEmpty():
         joined = merged.join(parent, (merged["next"] == parent["p"]) & ~F.array_contains("seen", parent["p"]), "left")
-        merged = checkpoint(joined.select("path", F.coalesce("base_url", "b2").alias("base_url"), F.coalesce("paths", "p2").alias("paths"), F.col("n2").alias("next"), F.when(F.col("p").isNotNull(), F.concat("seen", F.array("p"))).otherwise(F.col("seen")).alias("seen")))
-    return merged.select("path", "base_url", "paths")
+        merged = checkpoint(
+            joined.select(
+                "path", F.coalesce("base_url", "b2").alias("base_url"), F.coalesce("paths", "p2").alias("paths"), merged_options(F.col("options"), F.col("o2")).alias("options"), F.col("n2").alias("next"),
+                F.when(F.col("p").isNotNull(), F.concat("seen", F.array("p"))).otherwise(F.col("seen")).alias("seen"),
+            )
+        )
+    return merged.select("path", "base_url", "paths", "options")
 
 
-def path_mappings(configs: DataFrame, options: DataFrame, max_depth: int = 50) -> DataFrame:
+def path_mappings(configs: DataFrame, options: DataFrame) -> DataFrame:
     """path, alias, target: path mappings of a configuration and of all it references, directly or not; the nearest configuration wins per alias.
 
     Targets are given from the root: after the base address of the configuration that states them.
@@ -112,8 +125,9 @@ def path_mappings(configs: DataFrame, options: DataFrame, max_depth: int = 50) -
     to = normalize_path(F.concat_ws("/", "dir", F.col("r")))
     links = checkpoint(edges.select("path", F.when(to.endswith(".json"), to).otherwise(F.concat(to, F.lit("/tsconfig.json"))).alias("next")).distinct())
     reach = checkpoint(configs.select("path", F.col("path").alias("at"), F.lit(0).alias("depth")))
-    frontier = reach
-    for depth in range(1, max_depth + 1):
+    frontier, depth = reach, 0
+    while True:  # each round reaches a pair of configurations that none before did, so it ends
+        depth += 1
         new = frontier.join(links.withColumnRenamed("path", "at"), "at").select("path", F.col("next").alias("at")).distinct().join(reach.select("path", "at"), ["path", "at"], "left_anti")
         frontier = checkpoint(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

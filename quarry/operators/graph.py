@@ -1,8 +1,8 @@
 """Graph operators on edge tables (src, dst).
 
-Iterations run as one distributed job per round and cut their lineage through the shared checkpoint folder. A graph is counted first; one
-of at most ``small_graph.LIMIT`` edges goes to a single task, which gives the same result without a job per round. ``small_limit`` sets
-that bound, 0 always takes the distributed way.
+Iterations run as distributed jobs of a few rounds each and cut their lineage through the shared checkpoint folder. A graph is counted
+first; one of at most ``small_graph.LIMIT`` edges, and as many further nodes, goes to a single task, which gives the same result without a
+job per round. ``small_limit`` sets that bound, 0 always takes the distributed way.
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ from quarry.operators import small_graph as small
 from quarry.session import checkpoint
 
 
-def _is_small(edges: DataFrame, limit: int) -> bool:
-    return limit > 0 and edges.limit(limit + 1).count() <= limit
+#: Rounds of a relaxation that one job runs between two checkpoints.
+HOPS = 4
+
+
+def _is_small(edges: DataFrame, limit: int, nodes: DataFrame | None = None) -> bool:
+    """Whether the edges, and the nodes that go with them, are counted to be few."""
+    return limit > 0 and edges.limit(limit + 1).count() <= limit and (nodes is None or nodes.limit(limit + 1).count() <= limit)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, small_limit: int = small.LIMIT) -> DataFrame:
@@ -26,8 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, small_limit: in
     """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).filter("node IS NOT NULL").distinct()
     links = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    links = checkpoint(links)
-    if _is_small(links, small_limit):
+    links, nodes = checkpoint(links), checkpoint(nodes)
+    if _is_small(links, small_limit, nodes):
         return small.in_one_task(links.select(F.col("u").alias("src"), F.col("v").alias("dst")), nodes, "node bigint, component bigint", lambda ids, src, dst, extra: {"node": ids, "component": ids[small.components(len(ids), src, dst)]})
     before = None
     for _ in range(max_rounds):
@@ -71,10 +76,10 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000
     a checkpoint, so the plan does not grow with the depth.
     """
     back = checkpoint(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    if _is_small(back, small_limit):
-        return small.in_one_task(back, seeds.select("node").filter("node IS NOT NULL").distinct(), "node bigint, distance int", _closure_of)
-    reached = checkpoint(seeds.select("node").filter("node IS NOT NULL").distinct().withColumn("distance", F.lit(0)))
-    frontier = reached
+    starts = checkpoint(seeds.select("node").filter("node IS NOT NULL").distinct())
+    if _is_small(back, small_limit, starts):
+        return small.in_one_task(back, starts, "node bigint, distance int", _closure_of)
+    reached = frontier = starts.withColumn("distance", F.lit(0))
     for step in range(1, max_rounds + 1):
         new = back.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
         frontier = checkpoint(new.withColumn("distance", F.lit(step)))
@@ -100,25 +105,29 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200, small_limit: int
     """
     nodes = checkpoint(edges.select(F.explode(F.array("src", "dst")).alias("node")).filter("node IS NOT NULL").distinct())
     links = checkpoint(edges.filter("src <> dst").select("src", "dst").distinct())
-    if _is_small(links, small_limit):
+    if _is_small(links, small_limit, nodes):
         return small.in_one_task(links, nodes, "node bigint, component bigint", lambda ids, src, dst, extra: {"node": ids, "component": ids[small.strong(len(ids), src, dst)]})
     done: list[DataFrame] = []
+    n_links = links.count()
     for _ in range(max_rounds):
         while True:
-            kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            before = links.count()
-            links = checkpoint(kept)
-            if links.count() == before:
+            # What nothing leads to, or leads on from nothing, is in no cycle; trimming needs one count a round, of what is left.
+            links = checkpoint(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            left = links.count()
+            if left == n_links:
                 break
-        active = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        if active.isEmpty():
+            n_links = left
+        if not n_links:
             break
-        colour = checkpoint(active.withColumn("colour", F.col("node")))
+        colour = checkpoint(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
-            offered = links.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
-            new = checkpoint(colour.join(offered, "node", "left").select("node", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"), (F.coalesce("offer", "colour") > F.col("colour")).alias("changed")))
+            new = colour.withColumn("before", F.col("colour"))
+            for _ in range(HOPS):
+                offered = links.join(new.select(F.col("node").alias("src"), F.col("colour").alias("offer")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("offer").alias("offer"))
+                new = new.join(offered, "node", "left").select("node", "before", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"))
+            new = checkpoint(new)
             colour = new.select("node", "colour")
-            if new.filter("changed").isEmpty():
+            if new.filter("colour <> before").isEmpty():
                 break
         same = checkpoint(links.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").filter("c1 = c2").select("src", "dst"))
         members = reverse_closure(same, colour.filter("node = colour").select("node"), small_limit=small_limit).join(colour, "node").select("node", F.col("colour").alias("component"))
@@ -126,6 +135,7 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200, small_limit: int
         done.append(members)
         gone = members.select("node")
         links = checkpoint(links.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        n_links = links.count()
     else:
         raise RuntimeError("the components did not settle")
     if not done:
@@ -151,10 +161,13 @@ def component_levels(nodes: DataFrame, dag: DataFrame, max_rounds: int = 10_000,
         return nodes.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
     level = checkpoint(nodes.select("node").distinct().withColumn("level", F.lit(0)))
     for _ in range(max_rounds):
-        offered = dag.join(level.select(F.col("node").alias("dst"), "level"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("level") + 1).alias("offer"))
-        new = checkpoint(level.join(offered, "node", "left").select("node", F.greatest("level", F.coalesce("offer", F.lit(0))).alias("level"), (F.coalesce("offer", F.lit(0)) > F.col("level")).alias("changed")))
+        new = level.withColumn("before", F.col("level"))
+        for _ in range(HOPS):
+            offered = dag.join(new.select(F.col("node").alias("dst"), "level"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("level") + 1).alias("offer"))
+            new = new.join(offered, "node", "left").select("node", "before", F.greatest("level", F.coalesce("offer", F.lit(0))).alias("level"))
+        new = checkpoint(new)
         level = new.select("node", "level")
-        if new.filter("changed").isEmpty():
+        if new.filter("level <> before").isEmpty():
             return level
     raise RuntimeError("the levels did not settle; the graph has a cycle")
 
@@ -189,12 +202,36 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def transitive_reduction(dag: DataFrame) -> DataFrame:
-    """The edges of an acyclic graph that no longer path replaces."""
-    edges = dag.select("src", "dst").distinct()
-    closure = transitive_closure(edges)
-    detour = edges.select("src", F.col("dst").alias("mid")).join(closure.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-    return edges.join(detour, ["src", "dst"], "left_anti")
+def transitive_reduction(dag: DataFrame, max_rounds: int = 10_000, small_limit: int = small.LIMIT) -> DataFrame:
+    """The edges of an acyclic graph that no longer path replaces.
+
+    A path of several edges goes down at least as many levels, so only edges over two levels or more can be replaced. From the sources of
+    these, walks go on as long as they are above the lowest end that the source has such an edge to, so that no pair is kept that cannot
+    lead to one of them.
+    """
+    edges = checkpoint(dag.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    level = checkpoint(component_levels(nodes, edges, small_limit=small_limit))
+    steps = edges.join(level.select(F.col("node").alias("dst"), F.col("level").alias("at_level")), "dst")
+    steps = checkpoint(steps.join(level.select(F.col("node").alias("src"), F.col("level").alias("from_level")), "src"))
+    open_ = checkpoint(steps.filter("from_level - at_level >= 2").select("src", "dst", "at_level"))
+    lowest = checkpoint(open_.groupBy("src").agg(F.min("at_level").alias("low")))
+    walk = checkpoint(steps.join(lowest, "src").filter("at_level > low").select("src", F.col("dst").alias("at"), "low"))
+    seen, found = walk.select("src", "at"), []
+    onward = steps.select(F.col("src").alias("at"), F.col("dst").alias("next"), "at_level")
+    for step in range(1, max_rounds + 1):
+        reached = checkpoint(walk.join(onward, "at").filter("at_level >= low").select("src", F.col("next").alias("at"), "low", "at_level").distinct())
+        found.append(open_.select("src", "dst").join(reached.select("src", F.col("at").alias("dst")), ["src", "dst"], "left_semi"))
+        walk = checkpoint(reached.filter("at_level > low").select("src", "at", "low").join(seen, ["src", "at"], "left_anti"))
+        if walk.isEmpty():
+            replaced = found[0]
+            for part in found[1:]:
+                replaced = replaced.unionByName(part)
+            return edges.join(replaced.distinct(), ["src", "dst"], "left_anti")
+        seen = seen.unionByName(walk.select("src", "at"))
+        if step % 8 == 0:
+            seen = checkpoint(seen)
+    raise RuntimeError("the walks did not end; the graph has a cycle")
 
 
 def neighbours(edges: DataFrame, centres: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions.paths import ancestors, normalize_path
 
 DEFINITION_ROLE = 1
+#: Lines of a file that meet in one key of an interval join.
+BUCKET = 256
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -49,11 +51,15 @@ def file_symbol_edges(targeted: DataFrame) -> DataFrame:
 def containing(points: DataFrame, ranges: DataFrame, line: Column, innermost: bool | None = None) -> DataFrame:
     """Points joined to the ranges of the same file that contain them.
 
-    points: file and what ``line`` reads; ranges: file, definition_id, start_line, end_line. All ranges that contain a point match; with
+    Points meet ranges on the file and on a bucket of ``BUCKET`` lines, so that a file with very many ranges is no single key, and a point
+    meets only the ranges near it. points: file and what ``line`` reads; ranges: file, definition_id, start_line, end_line. All ranges that contain a point match; with
     ``innermost`` only one per point (point_id): the smallest span, or for False the lowest id.
     """
-    spans = ranges.select("file", "definition_id", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
-    hit = points.withColumn("_line", line).join(spans, "file").filter(F.col("_line").between(F.col("_from"), F.col("_to")))
+    spans = ranges.filter("start_line <= end_line").select("file", "definition_id", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
+    bucket = lambda c: F.floor(c / F.lit(BUCKET)).cast("int")
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    near = points.withColumn("_line", line).withColumn("_bucket", bucket(F.col("_line")))
+    hit = near.join(spans, ["file", "_bucket"]).filter(F.col("_line").between(F.col("_from"), F.col("_to"))).drop("_bucket")
     if innermost is not None:
         order = [F.col("_to") - F.col("_from"), F.col("definition_id")] if innermost else [F.col("definition_id")]
         hit = first_by(hit, ["point_id"], *order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Applied only where the caller's session has not set them.
@@ -72,6 +72,20 @@ def settled(rows: DataFrame, few: int = FEW) -> DataFrame:
     return F.broadcast(done) if done.limit(few + 1).count() <= few else done
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str = "k") -> DataFrame:
+    """The rows with their number, from 1, within a key in an order, without one task for all rows of a key.
+
+    Rows are dealt out by ranges of key and order, counted per range and key, and numbered within these; the counts of the ranges before
+    are added. Rows with equal key and order are numbered in any order.
+    """
+    ranged = checkpoint(df.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_range")) - F.col("_n")
+    offsets = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_before", before).select(F.col(key).alias("_key"), F.col("_range").alias("_r"), "_before")
+    inner = F.row_number().over(Window.partitionBy("_range", key).orderBy(order))
+    joined = ranged.withColumn("_i", inner).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(name, F.col("_before") + F.col("_i")).drop("_range", "_i", "_key", "_r", "_before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a scan dealt out to all cores where the scan has fewer partitions than these, as a small or single-file table has.
 
