@@ -46,3 +46,20 @@ def ancestors(path: Column, include_self: bool = False) -> Column:
 def is_within(path: Column, directory: Column) -> Column:
     """Whether ``path`` is ``directory`` or lies below it, at a separator boundary."""
     return (path == directory) | path.startswith(F.concat(directory, F.lit("/")))
+
+
+def relative_path(path: Column, base: Column) -> Column:
+    """``path`` as seen from the directory ``base``, with ``..`` for what lies above their common part; ``.`` for the directory itself. Both are normal paths."""
+    empty = F.array().cast("array<string>")
+    a, b = (F.when(c == "", empty).otherwise(F.split(c, "/")) for c in (path, base))
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    common = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same).cast("long"))
+    up = F.array_repeat(F.lit(".."), (F.size(b) - common).cast("int"))
+    down = F.when(F.size(a) > common, F.slice(a, (common + 1).cast("int"), F.greatest((F.size(a) - common).cast("int"), F.lit(0)))).otherwise(empty)
+    joined = F.array_join(F.concat(up, down), "/")
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def same_path(a: Column, b: Column) -> Column:
+    """Whether two spellings name one path."""
+    return normalize_path(a) == normalize_path(b)

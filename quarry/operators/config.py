@@ -34,7 +34,7 @@ def strip_json_comments(text: Column) -> Column:
 
 def parse_packages(files: DataFrame) -> DataFrame:
     """path, dir, name, main, exports, workspaces (globs), dependencies (names of all four maps) of package.json files; broken ones are left out."""
-    p = named_files(files, "package.json").withColumn("j", F.from_json("content", PACKAGE_SCHEMA)).filter("j IS NOT NULL")
+    p = named_files(files, "package.json").filter(F.try_parse_json("content").isNotNull()).withColumn("j", F.from_json("content", PACKAGE_SCHEMA))
     maps = [F.coalesce(F.map_keys(f"j.{m}"), F.array().cast("array<string>")) for m in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")]
     workspaces = F.coalesce(F.from_json("j.workspaces", "array<string>"), F.from_json(F.get_json_object("j.workspaces", "$.packages"), "array<string>"), F.array().cast("array<string>"))
     return p.select("path", dirname(F.col("path")).alias("dir"), F.col("j.name").alias("name"), F.col("j.main").alias("main"), F.col("j.exports").alias("exports"), workspaces.alias("workspaces"), F.array_sort(reduce(F.array_union, maps)).alias("dependencies"))
@@ -42,8 +42,9 @@ def parse_packages(files: DataFrame) -> DataFrame:
 
 def parse_tsconfigs(files: DataFrame) -> DataFrame:
     """path, dir, extends, base_url, paths, options (each as JSON text), references of tsconfig*.json files, comments allowed."""
-    t = named_files(files, "tsconfig*.json").withColumn("j", F.from_json(strip_json_comments(F.col("content")), TSCONFIG_SCHEMA)).filter("j IS NOT NULL")
-    return t.select("path", dirname(F.col("path")).alias("dir"), F.col("j.extends").alias("extends"), F.col("j.compilerOptions.baseUrl").alias("base_url"), F.col("j.compilerOptions.paths").alias("paths"), F.from_json(F.get_json_object(strip_json_comments(F.col("content")), "$.compilerOptions"), "map<string,string>").alias("options"), F.transform(F.coalesce("j.references", F.array().cast("array<struct<path:string>>")), lambda r: r["path"]).alias("references"))
+    bare = strip_json_comments(F.col("content"))
+    t = named_files(files, "tsconfig*.json").filter(F.try_parse_json(bare).isNotNull()).withColumn("j", F.from_json(bare, TSCONFIG_SCHEMA))
+    return t.select("path", dirname(F.col("path")).alias("dir"), F.col("j.extends").alias("extends"), F.col("j.compilerOptions.baseUrl").alias("base_url"), F.col("j.compilerOptions.paths").alias("paths"), F.from_json(F.get_json_object(bare, "$.compilerOptions"), "map<string,string>").alias("options"), F.transform(F.coalesce("j.references", F.array().cast("array<struct<path:string>>")), lambda r: r["path"]).alias("references"))
 
 
 def workspace_type(files: DataFrame, packages: DataFrame) -> DataFrame:

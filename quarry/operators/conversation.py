@@ -99,3 +99,53 @@ def push_commits(payloads: DataFrame) -> DataFrame:
     """delivery_id, commit_id: one row per commit of the pushes."""
     j = F.from_json("body", "commits array<struct<id:string>>")
     return payloads.filter("event = 'push'").select("delivery_id", F.explode(j["commits"]).alias("c")).select("delivery_id", F.col("c.id").alias("commit_id"))
+
+
+def message_states(events: DataFrame) -> DataFrame:
+    """session_id, turn, text, n_tools, n_open_tools, state: the state of each message of a conversation.
+
+    events: session_id, seq, event_type (user, delta, tool_call, tool_result, complete, error), delta, tool_id. A user's event opens a turn;
+    what follows up to the next one is the answer's message. Deltas are joined in order, a tool is open until its result comes, and what
+    comes after a turn's first terminal event is left out.
+    """
+    opened = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.sum((F.col("event_type") == "user").cast("int")).over(opened)
+    placed = events.withColumn("turn", turn)
+    before = Window.partitionBy("session_id", "turn").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col("event_type").isin(*TERMINAL).cast("int")).over(before), F.lit(0))
+    live = placed.withColumn("_e", ended).filter("_e = 0")
+    deltas = F.array_sort(F.collect_list(F.when(F.col("event_type") == "delta", F.struct("seq", "delta"))))
+    called = F.collect_set(F.when(F.col("event_type") == "tool_call", F.col("tool_id")))
+    answered = F.collect_set(F.when(F.col("event_type") == "tool_result", F.col("tool_id")))
+    grouped = live.groupBy("session_id", "turn").agg(
+        F.array_join(F.transform(deltas, lambda x: x["delta"]), "").alias("text"), F.size(called).alias("n_tools"), F.size(F.array_except(called, answered)).alias("n_open_tools"),
+        F.max(F.when(F.col("event_type").isin(*TERMINAL), F.col("event_type"))).alias("end"),
+    )
+    return grouped.select("session_id", "turn", "text", "n_tools", "n_open_tools", F.coalesce("end", F.lit("streaming")).alias("state"))
+
+
+def message_history(messages: DataFrame, conversations: DataFrame, n: int | None = None) -> DataFrame:
+    """conv_id, title, turn, role, text: the messages (conv_id, turn, role, text) of conversations (conv_id, title) that exist, in order, the last n of each."""
+    rows = messages if n is None else recent(messages, n)
+    return rows.join(conversations.select("conv_id", "title").dropDuplicates(["conv_id"]), "conv_id").select("conv_id", "title", "turn", "role", "text")
+
+
+def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """The messages with new ones (conv_id, role, text, sent) behind them: turns go on from each conversation's last one, in order of ``sent``."""
+    last = messages.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    w = Window.partitionBy("conv_id").orderBy("sent", "role", "text")
+    turn = F.coalesce("_last", F.lit(0)) + F.row_number().over(w)
+    return messages.unionByName(new.join(last, "conv_id", "left").withColumn("turn", turn.cast("bigint")).select(*messages.columns))
+
+
+def update_job(projects: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The projects (project_id, ..., job_id) with the newest job of each (project_id, job_id, ts)."""
+    newest = jobs.groupBy("project_id").agg(F.max_by("job_id", F.struct("ts", "job_id")).alias("_job"))
+    return projects.join(newest, "project_id", "left").withColumn("job_id", F.coalesce("_job", "job_id")).select(*projects.columns)
+
+
+def delete_projects(projects: DataFrame, conversations: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without the projects (project_id) that are gone, their conversations and their messages."""
+    ids = gone.select("project_id").distinct()
+    lost = conversations.join(ids, "project_id", "left_semi").select("conv_id").distinct()
+    return projects.join(ids, "project_id", "left_anti").select(*projects.columns), conversations.join(ids, "project_id", "left_anti").select(*conversations.columns), messages.join(lost, "conv_id", "left_anti").select(*messages.columns)

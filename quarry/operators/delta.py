@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint, numbered
@@ -144,6 +144,17 @@ def summary_mode(delta_is_empty: bool | None, forced: bool) -> str:
     return "none" if delta_is_empty else "incremental"
 
 
+def parse_modes(stored: Column, current: Column) -> Column:
+    """``parse_mode`` for a table of repositories."""
+    known = (F.coalesce(stored, F.lit("")) != "") & (F.coalesce(current, F.lit("")) != "")
+    return F.when(~known, "full").when(stored == current, "none").otherwise("incremental")
+
+
+def summary_modes(n_changes: Column, forced: Column) -> Column:
+    """``summary_mode`` for a table of repositories; a null number of changes says that there is no delta."""
+    return F.when(F.coalesce(forced, F.lit(False)) | n_changes.isNull(), "full").when(n_changes == 0, "none").otherwise("incremental")
+
+
 def schedule(changed: DataFrame, closure: DataFrame, levelled: DataFrame) -> DataFrame:
     """node, phase (changed, ancestor), level: what has to be made again, the changed nodes first, then what depends on them, by level."""
     phases = closure.select("node").join(changed.select("node").distinct().withColumn("_c", F.lit(1)), "node", "left")

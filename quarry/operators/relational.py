@@ -110,3 +110,41 @@ def workspace_root(packages: DataFrame) -> DataFrame:
 def integer_average(total: Column, n: Column) -> Column:
     """The integer quotient, 0 where there is nothing to divide by."""
     return F.coalesce(F.floor(F.try_divide(total, n)), F.lit(0)).cast("long")
+
+
+def top_consumers(costs: DataFrame, k: int = 10, tokens: str = "tokens") -> DataFrame:
+    """The k rows with the most tokens (node, tokens), ties by node, with their share of all."""
+    total = costs.agg(F.sum(tokens).alias("_total"))
+    best = costs.orderBy(F.desc(tokens), "node").limit(k)
+    return best.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide(F.col(tokens), F.col("_total"))).drop("_total")
+
+
+def level_maxima(levelled: DataFrame, costs: DataFrame) -> DataFrame:
+    """Per level: the largest item and its tokens, ties by node."""
+    return levelled.join(costs, "node").groupBy("level").agg(F.max_by("node", F.struct("tokens", -F.col("node"))).alias("node"), F.max("tokens").alias("tokens"))
+
+
+def file_references(definitions: DataFrame, edges: DataFrame) -> DataFrame:
+    """definition_id, direction (refers to, referred by), other_id, other_name, other_file_id: the references of definitions in long form, both ways.
+
+    The form for whole tables: a name that very many refer to is many rows, not one array.
+    """
+    d = definitions.select("id", "name", "file_id").dropDuplicates(["id"])
+    other = d.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("file_id").alias("other_file_id"))
+    pairs = edges.select(F.col("src").alias("definition_id"), F.lit("refers to").alias("direction"), F.col("dst").alias("other_id")).unionByName(edges.select(F.col("dst").alias("definition_id"), F.lit("referred by").alias("direction"), F.col("src").alias("other_id")))
+    return pairs.join(other, "other_id").select("definition_id", "direction", "other_id", "other_name", "other_file_id").distinct()
+
+
+def files_with_references(wanted: DataFrame, files: DataFrame, definitions: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, file_path, definitions: the wanted files (id) with their definitions in order, and in each the names it refers to and is referred by.
+
+    Only the rows of the wanted files are nested, so the arrays are those of files that someone asked for.
+    """
+    ids = wanted.select(F.col("id").alias("file_id")).distinct()
+    d = definitions.select(F.col("id").alias("definition_id"), "file_id", "name", "definition_type", "start_line").dropDuplicates(["definition_id"]).join(ids, "file_id", "left_semi")
+    refs = file_references(definitions, edges).join(d.select("definition_id"), "definition_id", "left_semi")
+    names = refs.groupBy("definition_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("direction") == way, F.col("other_name")))).alias(c) for way, c in (("refers to", "refers_to"), ("referred by", "referred_by"))])
+    none = F.array().cast("array<string>")
+    full = d.join(names, "definition_id", "left").select("file_id", F.struct("start_line", "definition_id", "name", "definition_type", F.coalesce("refers_to", none).alias("refers_to"), F.coalesce("referred_by", none).alias("referred_by")).alias("d"))
+    nested = full.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list("d")).alias("definitions"))
+    return files.select("id", "file_path").dropDuplicates(["id"]).join(ids.withColumnRenamed("file_id", "id"), "id", "left_semi").join(nested, "id", "left")

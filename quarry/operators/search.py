@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -26,6 +27,22 @@ def check_request(top_k: int = 10, limit: int = 10, offset: int = 0, query: str
         raise ValueError("the query is empty")
 
 
+#: Bounds of a request's numbers, both ends included; fixed values.
+BOUNDS = {"top_k": (1, 200), "limit": (1, 50), "offset": (0, None), "k": (1, 100), "searches": (1, 5)}
+
+
+def request_errors(requests: DataFrame) -> DataFrame:
+    """The requests with ``error``: what is wrong with them first, or null. Looks at those columns of BOUNDS that there are, and at query."""
+    checks = []
+    for name, (low, high) in BOUNDS.items():
+        if name in requests.columns:
+            outside = F.col(name) < low if high is None else ~F.col(name).between(low, high)
+            checks.append(F.when(outside, F.lit(f"{name} must be {low}" + (f" to {high}" if high is not None else " or more"))))
+    if "query" in requests.columns:
+        checks.append(F.when(F.coalesce(F.length("query"), F.lit(0)) < 1, F.lit("the query is empty")))
+    return requests.withColumn("error", F.coalesce(*checks) if checks else F.lit(None).cast("string"))
+
+
 def postings(documents: DataFrame) -> DataFrame:
     """id, term, tf, length of the documents (id, text): one row per document and term."""
     words = documents.select("id", tokens(F.coalesce("text", F.lit(""))).alias("words"))
@@ -68,29 +85,169 @@ def bm25(documents: DataFrame, query: str, match_all: bool = True, prefix: bool
     return counted.filter(condition).crossJoin(F.broadcast(stats)).select("id", (-score).alias("rank"))
 
 
-def parse_query(query: str) -> list[tuple[str, str]]:
-    """The parts of a query: (phrase | prefix | term, text); signs that mean nothing are dropped."""
-    parts = []
-    for m in re.finditer(r'"([^"]*)"|(\S+)', query):
-        if m.group(1) is not None:
-            if m.group(1).strip():
-                parts.append(("phrase", m.group(1).strip()))
-        elif m.group(2) not in ("AND", "OR", "NOT", "NEAR"):
-            text = re.sub(r"[^\w*/.-]", " ", m.group(2)).strip()
-            if re.search(r"\w", text):
-                parts.append(("prefix", text.rstrip("*")) if text.endswith("*") else ("term", text.replace("*", " ")))
-    return parts
+#: Words that two phrases of NEAR may have between them, unless the query says otherwise; a fixed value.
+NEAR_WORDS = 10
+_SIGN = re.compile(r'\s*(?:(?P<text>"(?:[^"]|"")*")|(?P<word>[\w\u0080-\U0010ffff]+)|(?P<sign>[()*+,^]))')
+
+
+class QueryError(ValueError):
+    """A full-text query outside the grammar."""
+
+
+def parse_query(query: str) -> tuple:
+    """The tree of a full-text query.
+
+    Nodes: ("and" | "or" | "not", left, right), ("near", [phrases], n), ("phrase", text, prefix, first). NOT binds closest, then AND, which also
+    stands between parts without an operator, then OR; brackets group. A phrase is a word or a quoted text, ``+`` joins phrases, ``*`` behind it
+    makes its last word a prefix, ``^`` before it demands the start of the text. NEAR(a b, n) wants its phrases with at most n words between.
+    The operators are words in capitals. Anything else is an error.
+    """
+    signs: list[tuple[str, str]] = []
+    at = 0
+    while query[at:].strip():
+        m = _SIGN.match(query, at)
+        if m is None:
+            raise QueryError(f"unexpected {query[at:].strip()[0]!r} in the query")
+        kind = m.lastgroup
+        signs.append((kind, m.group(kind)[1:-1].replace('""', '"') if kind == "text" else m.group(kind)))
+        at = m.end()
+    signs.append(("end", ""))
+    place = 0
+
+    def here(kind: str, text: str | None = None) -> bool:
+        return signs[place][0] == kind and (text is None or signs[place][1] == text)
+
+    def need(kind: str, text: str | None = None) -> str:
+        nonlocal place
+        if not here(kind, text):
+            raise QueryError(f"expected {text or kind} before {signs[place][1] or 'the end'!r}")
+        place += 1
+        return signs[place - 1][1]
+
+    def phrase() -> tuple:
+        nonlocal place
+        first = here("sign", "^")
+        place += first
+        words = [need("text") if here("text") else need("word")]
+        while here("sign", "+"):
+            place += 1
+            words.append(need("text") if here("text") else need("word"))
+        prefix = here("sign", "*")
+        place += prefix
+        return "phrase", " ".join(words), prefix, first
+
+    def part() -> tuple:
+        nonlocal place
+        if here("sign", "("):
+            place += 1
+            inner = either()
+            need("sign", ")")
+            return inner
+        if here("word", "NEAR") and signs[place + 1] == ("sign", "("):
+            place += 2
+            phrases = [phrase()]
+            while not here("sign", ")") and not here("sign", ","):
+                phrases.append(phrase())
+            words = NEAR_WORDS
+            if here("sign", ","):
+                place += 1
+                number = need("word")
+                if not number.isdecimal():
+                    raise QueryError("NEAR needs a number behind its comma")
+                words = int(number)
+            need("sign", ")")
+            return "near", phrases, words
+        if here("word") and signs[place][1] in ("AND", "OR", "NOT"):
+            raise QueryError(f"{signs[place][1]} has nothing before it")
+        return phrase()
+
+    def without() -> tuple:
+        nonlocal place
+        left = part()
+        while here("word", "NOT"):
+            place += 1
+            left = ("not", left, part())
+        return left
+
+    def both() -> tuple:
+        nonlocal place
+        left = without()
+        while not here("end") and not here("sign", ")") and not here("word", "OR"):
+            place += here("word", "AND")
+            left = ("and", left, without())
+        return left
+
+    def either() -> tuple:
+        nonlocal place
+        left = both()
+        while here("word", "OR"):
+            place += 1
+            left = ("or", left, both())
+        return left
+
+    tree = either()
+    need("end")
+    return tree
+
+
+def _plain_tokens(text: str) -> list[str]:
+    """The tokens of a text on the driver, as ``tokens`` gives them in a plan."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", bare)
+
+
+def _starts(words: Column, phrase: list[str], prefix: bool) -> Column:
+    """The places at which a phrase begins."""
+    n = len(phrase)
+    exact = phrase[:-1] if prefix else phrase
+
+    def at(i: Column) -> Column:
+        found = F.lit(True) if not exact else F.slice(words, i + 1, len(exact)) == F.array(*[F.lit(w) for w in exact])
+        return found & F.startswith(F.coalesce(F.try_element_at(words, (i + n).cast("int")), F.lit("")), F.lit(phrase[-1])) if prefix else found
+
+    last = F.size(words) - n
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))
+
+
+def match_condition(words: Column, line: Column, tree: tuple) -> Column:
+    """Whether a document matches a parsed query; ``words`` are its tokens, ``line`` these with a blank around each."""
+    kind = tree[0]
+    if kind in ("and", "or", "not"):
+        left, right = match_condition(words, line, tree[1]), match_condition(words, line, tree[2])
+        return left & right if kind == "and" else left | right if kind == "or" else left & ~right
+    if kind == "near":
+        phrases = [(_plain_tokens(text), prefix) for _, text, prefix, _ in tree[1]]
+        if not all(p for p, _ in phrases):
+            return F.lit(False)
+        starts = [_starts(words, p, prefix) for p, prefix in phrases]
+
+        def around(last: Column) -> Column:
+            condition = F.lit(True)
+            for (p, _), places in zip(phrases, starts):
+                condition = condition & F.exists(places, lambda t, n=len(p): t.between(last - n - tree[2], last))
+            return condition
+
+        present = match_condition(words, line, ("and", tree[1][0], tree[1][-1]))
+        return F.when(present, F.exists(F.flatten(F.array(*starts)), around)).otherwise(False)
+    _, text, prefix, first = tree
+    phrase = _plain_tokens(text)
+    if not phrase:
+        return F.lit(False)
+    wanted = F.lit(" " + " ".join(phrase) + ("" if prefix else " "))
+    return F.startswith(line, wanted) if first else F.contains(line, wanted)
 
 
 def matching(documents: DataFrame, query: str) -> DataFrame:
-    """id of the documents in which all parts of the query occur: terms, prefixes and phrases of words in a row."""
-    words = documents.select("id", F.array_join(F.concat(F.array(F.lit("")), tokens(F.coalesce("text", F.lit(""))), F.array(F.lit(""))), " ").alias("line"))
-    condition = F.lit(True)
-    for kind, text in parse_query(query):
-        inner = F.array_join(tokens(F.lit(text)), " ")
-        end = F.lit("") if kind == "prefix" else F.lit(" ")
-        condition = condition & F.contains("line", F.concat(F.lit(" "), inner, end))
-    return words.filter(condition).select("id")
+    """id of the documents (id, text) that match a query of the whole grammar; null texts match nothing. Raises QueryError for a broken query."""
+    tree = parse_query(query)
+    words = documents.select("id", tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    return words.select("id", "words", line.alias("line")).filter(match_condition(F.col("words"), F.col("line"), tree)).select("id")
+
+
+def one_minus_similarity(hits: DataFrame) -> DataFrame:
+    """The hits with 1 - similarity as their distance, as tools that expect a distance want it."""
+    return hits.withColumn("distance", F.lit(1.0) - F.col("similarity"))
 
 
 def top(df: DataFrame, k: int, *order: Column | str, offset: int = 0) -> DataFrame:
@@ -185,12 +342,14 @@ def hybrid(sources: list[DataFrame], k: int) -> DataFrame:
     return top(best_per_entity(union), k, "distance", "source_order", "entity_type", "entity_id")
 
 
-def hybrid_rrf(sources: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
-    """entity_type, entity_id, score: reciprocal rank fusion of the sources' own top lists (entity_type, entity_id, distance)."""
+def hybrid_rrf(sources: list[DataFrame], k: int, constant: int = 60, depth: int = 1000) -> DataFrame:
+    """entity_type, entity_id, score: reciprocal rank fusion of the sources' own lists of the ``depth`` nearest (entity_type, entity_id, distance), a parameter of the fusion."""
     ranked = []
     for s in sources:
+        # A source's own list ends at ``depth``, so its ranks are those of a bounded list, not of all its rows in one task.
+        best = top(s.select("entity_type", "entity_id", "distance"), depth, "distance", "entity_type", "entity_id")
         w = Window.orderBy("distance", "entity_type", "entity_id")
-        ranked.append(s.select("entity_type", "entity_id", (F.lit(1.0) / (constant + F.row_number().over(w))).alias("part")))
+        ranked.append(best.select("entity_type", "entity_id", (F.lit(1.0) / (constant + F.row_number().over(w))).alias("part")))
     union = ranked[0]
     for r in ranked[1:]:
         union = union.unionByName(r)
@@ -209,15 +368,39 @@ def dispatch(mode: str, has_key: bool) -> tuple[str, ...]:
     return table[mode]
 
 
-def hydrate(hits: DataFrame, files: DataFrame, definitions: DataFrame) -> DataFrame:
-    """The hits (entity_type, entity_id, distance) with name, path, summary and similarity; hits without a row are dropped."""
+def hydrate(hits: DataFrame, files: DataFrame, definitions: DataFrame, nested: bool = False) -> DataFrame:
+    """The hits (entity_type, entity_id, distance) with name, path, summary and similarity; hits without a row are dropped.
+
+    ``nested``: file hits also bring their definitions in order (definition_id, name, definition_type, start_line), which is for the few hits
+    of a search, and definition hits none.
+    """
     f = files.select(F.lit("file").alias("entity_type"), F.col("id").alias("entity_id"), F.col("file_path").alias("f_path"), F.col("ai_short_summary").alias("f_summary")).dropDuplicates(["entity_id"])
     home = files.select(F.col("id").alias("file_id"), F.col("file_path").alias("d_path")).dropDuplicates(["file_id"])
     d = definitions.select(F.lit("definition").alias("entity_type"), F.col("id").alias("entity_id"), "file_id", F.col("name").alias("d_name"), F.col("ai_short_summary").alias("d_summary")).dropDuplicates(["entity_id"]).join(home, "file_id", "left").drop("file_id")
     joined = hits.join(f, ["entity_type", "entity_id"], "left").join(d, ["entity_type", "entity_id"], "left")
     path = F.coalesce("f_path", "d_path")
     name = F.when(F.col("entity_type") == "file", F.substring_index("f_path", "/", -1)).otherwise(F.col("d_name"))
-    return joined.withColumn("name", name).filter("name IS NOT NULL").select("entity_type", "entity_id", "name", path.alias("path"), F.coalesce("f_summary", "d_summary").alias("summary"), "distance", similarity_of(F.col("distance")).alias("similarity"))
+    columns = ["entity_type", "entity_id", "name", path.alias("path"), F.coalesce("f_summary", "d_summary").alias("summary"), "distance", similarity_of(F.col("distance")).alias("similarity")]
+    found = joined.withColumn("name", name).filter("name IS NOT NULL").select(*columns)
+    if not nested:
+        return found
+    wanted = hits.filter("entity_type = 'file'").select(F.col("entity_id").alias("file_id")).distinct()
+    rows = definitions.select(F.col("id").alias("definition_id"), "file_id", "name", "definition_type", "start_line").dropDuplicates(["definition_id"]).join(wanted, "file_id", "left_semi")
+    lists = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "definition_id", "name", "definition_type"))).alias("definitions"))
+    return found.join(lists.select(F.lit("file").alias("entity_type"), F.col("file_id").alias("entity_id"), "definitions"), ["entity_type", "entity_id"], "left")
+
+
+def by_similarity(hydrated: DataFrame) -> DataFrame:
+    """Hits in the order in which they are shown: the most similar first, ties by type and id."""
+    return hydrated.orderBy(F.desc("similarity"), "entity_type", "entity_id")
+
+
+def response(hits: DataFrame) -> DataFrame:
+    """The hits with what a response has to have: fallbacks for name, path and time; a hit without type or id is an error."""
+    key = F.coalesce(F.concat_ws(":", "entity_type", F.col("entity_id").cast("string")), F.lit(""))
+    whole = F.when(F.col("entity_type").isNull() | F.col("entity_id").isNull(), F.raise_error(F.concat(F.lit("a hit lacks its type or id: "), key))).otherwise(F.col("entity_type"))
+    name = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.when(F.col("path") != "", F.substring_index("path", "/", -1)), F.lit("unknown"))
+    return hits.select(whole.alias("entity_type"), "entity_id", name.alias("name"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("created_at", F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("created_at"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def rendered(hydrated: DataFrame) -> DataFrame:
