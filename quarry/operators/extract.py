@@ -1,4 +1,5 @@
-"""Definitions of source files: Python by the standard library's grammar, JavaScript and TypeScript by a scanner of declarations.
+"""Definitions of source files: Python by the standard library's grammar, JavaScript and TypeScript by a scanner of declarations
+and of the members of classes, interfaces and objects, with a stack of delimiters.
 
 A definition has a kind, a name, 1-based lines, the trimmed text of its lines and its documentation. One definition per start line, the
 first in order; an anonymous one or a plain variable is also left out where it begins inside of one that was taken before.
@@ -24,17 +25,25 @@ PARSEABLE = ("js", "jsx", "ts", "tsx", "py")
 _CONSTANT = re.compile(r"^[A-Z][A-Z0-9_]*$")
 _SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`")
 _DOC = re.compile(r"/\*\*(?:(?!\*/)[\s\S])*\*/[ \t]*\r?\n?[ \t]*$")
+_START = r"(?:^|(?<=[;{}]))[ \t]*"
+_EXPORT = r"(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?"
+_FUNCTION_VALUE = r"(?:async\b\s*)?(?:function\b|(?:<[^()=]*>\s*)?\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*(?::[^=;{}]+(?:\{[^{}]*\})?[^=;{}]*)?=>|[\w$]+\s*=>)"
 _DECLARATIONS = [
-    ("function", re.compile(r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<name>[\w$]*)", re.M)),
-    ("class", re.compile(r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class\b[ \t]*(?P<name>(?!extends\b|implements\b)[\w$]*)", re.M)),
-    ("interface", re.compile(r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?interface[ \t]+(?P<name>[\w$]+)", re.M)),
-    ("type_alias", re.compile(r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?type[ \t]+(?P<name>[\w$]+)[ \t]*(?:<[^=\n]*>)?[ \t]*=", re.M)),
-    ("enum", re.compile(r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?:const[ \t]+)?enum[ \t]+(?P<name>[\w$]+)", re.M)),
-    ("module", re.compile(r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?:namespace|module)[ \t]+(?P<name>[\w$.]+)[ \t]*\{", re.M)),
-    ("binding", re.compile(r"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?P<word>const|let|var)[ \t]+(?P<name>[\w$]+)[ \t]*(?::[^=\n]+)?=(?!=)[ \t]*(?P<arrow>(?:async[ \t]*)?(?:function\b|\([^\n]*=>|[\w$]+[ \t]*=>))?", re.M)),
-    ("method", re.compile(r"^[ \t]+(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)[ \t]+)*\*?[ \t]*(?P<name>#?[\w$]+)[ \t]*(?:<[^>\n]*>)?\((?=[^\n]*\)[^\n;=]*\{[ \t]*\r?$)", re.M)),
+    ("function", re.compile(_START + _EXPORT + r"(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<name>[\w$]*)", re.M)),
+    ("class", re.compile(r"(?:^|(?<=[;{})]))[ \t]*" + _EXPORT + r"(?:abstract[ \t]+)?class\b[ \t]*(?P<name>(?!extends\b|implements\b)[\w$]*)", re.M)),
+    ("interface", re.compile(_START + _EXPORT + r"interface[ \t]+(?P<name>[\w$]+)", re.M)),
+    ("type_alias", re.compile(_START + _EXPORT + r"type[ \t]+(?P<name>[\w$]+)\s*(?:<[^=;{}]*>)?\s*=", re.M)),
+    ("enum", re.compile(_START + _EXPORT + r"(?:const[ \t]+)?enum[ \t]+(?P<name>[\w$]+)", re.M)),
+    ("module", re.compile(_START + _EXPORT + r"(?:namespace|module)[ \t]+(?P<name>[\w$.]+)\s*\{", re.M)),
+    ("binding", re.compile(_START + _EXPORT + r"(?P<word>const|let|var)[ \t]+(?P<name>[\w$]+)\s*(?::(?:[^=;]|=>)+?)?=(?![=>])\s*(?P<arrow>" + _FUNCTION_VALUE + ")?", re.M)),
+    ("assigned", re.compile(_START + r"(?:[\w$]+\.)+(?P<name>[\w$]+)\s*=(?![=>])\s*(?P<arrow>" + _FUNCTION_VALUE + ")", re.M)),
+    ("default", re.compile(_START + r"export[ \t]+default[ \t]+(?P<name>)(?P<arrow>" + _FUNCTION_VALUE + ")", re.M)),
 ]
-_NOT_METHODS = frozenset("if for while switch catch return function with else do try throw new typeof await super constructor_".split())
+#: A member of a class, an interface or an object: its modifiers and name, up to what shows whether it is a function.
+_MEMBER = re.compile(r"(?:(?:public|private|protected|static|readonly|abstract|override|declare|accessor|async|get|set)\b(?!\s*[(=:;?!<,}])\s*)*(?:\*\s*)?(?P<name>\#?[\w$]+|\[[^\]]*\]|new(?=\s*\())?\s*[?!]?\s*(?P<next>[<(:=;,}\n]|$)")
+_VALUE = re.compile(r"\s*" + _FUNCTION_VALUE)
+_GAP = re.compile(r"[\s;,]+")
+_DECORATOR = re.compile(r"@[\w$.]+\s*")
 
 
 def _python(text: str) -> Iterator[tuple]:
@@ -88,22 +97,127 @@ def _end(bare: str, at: int, braces: bool) -> int:
     return len(bare)
 
 
+def _close(bare: str, at: int, pairs: str = "{}()[]") -> int:
+    """Behind the bracket that closes the one at ``at``; the delimiters in between stand on a stack."""
+    closing = {pairs[i + 1]: pairs[i] for i in range(0, len(pairs), 2)}
+    stack: list[str] = []
+    for i in range(at, len(bare)):
+        c = bare[i]
+        if c in closing.values():
+            stack.append(c)
+        elif c in closing and not (c == ">" and bare[i - 1] == "="):
+            if not stack or stack.pop() != closing[c]:
+                return i
+            if not stack:
+                return i + 1
+    return len(bare)
+
+
+def _skip_to(bare: str, at: int, end: int, stops: str) -> int:
+    """The first of some signs from ``at`` on that stands in no bracket."""
+    while at < end:
+        c = bare[at]
+        if c in stops:
+            return at
+        at = _close(bare, at) if c in "({[" else at + 1
+    return end
+
+
+def _members(bare: str, at: int, kind: str) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and name of the functions among the members of the body whose brace stands at ``at``."""
+    end = _close(bare, at) - 1
+    at += 1
+    while at < end:
+        if m := _GAP.match(bare, at, end):
+            at = m.end()
+            continue
+        if m := _DECORATOR.match(bare, at, end):
+            at = _close(bare, m.end()) if bare[m.end() : m.end() + 1] == "(" else m.end()
+            continue
+        m = _MEMBER.match(bare, at, end)
+        if m is None or not m.group("name") and m.group("next") not in "(<":
+            # Not a member: a block, a spread or a call; its brackets are passed as one.
+            at = _close(bare, at) if bare[at] in "({[" else at + 1
+            continue
+        begin, sign, after = at, m.group("next"), m.end() - 1
+        name = (m.group("name") or "anonymous").strip("[]# \n")
+        if sign == "<":
+            after = _close(bare, after, "<>()[]{}")
+            after += len(bare[after:end]) - len(bare[after:end].lstrip())
+            sign = bare[after : after + 1]
+        if sign == "(":
+            params = _close(bare, after)
+            stop = _skip_signature(bare, params, end)
+            if bare[stop : stop + 1] == "{":
+                at = _close(bare, stop)
+                yield begin, at, name
+            else:
+                at = stop
+                if kind != "object":
+                    yield begin, stop, name
+        elif sign == "=" or sign == ":" and kind == "object":
+            value = after + 1
+            stop = _end(bare, value, False) if kind == "class" else _skip_to(bare, value, end, ",")
+            if _VALUE.match(bare, value, end):
+                yield begin, stop, name
+            at = max(stop, value)
+        elif sign == ":":
+            stop = _skip_to(bare, after, end, ";=,\n" if kind == "interface" else ";=\n")
+            if bare[stop : stop + 1] == "=" and bare[stop : stop + 2] != "=>":
+                close = _end(bare, stop + 1, False)
+                if _VALUE.match(bare, stop + 1, end):
+                    yield begin, close, name
+                stop = close
+            at = max(stop, after + 1)
+        else:
+            at = max(after, at + 1)
+
+
+def _skip_signature(bare: str, at: int, end: int) -> int:
+    """From behind the parameters to the brace of the body, or to the end of a signature without one."""
+    while at < end:
+        c = bare[at]
+        if c == "{":
+            # A brace behind a colon or an operator of types is the type of the result.
+            if re.search(r"[:|&<,]\s*$", bare[max(0, at - 40) : at]):
+                at = _close(bare, at)
+                continue
+            return at
+        if c in ";,}" or c == "\n" and not re.match(r"\s*[:{|&]", bare[at:end]) and not re.search(r"[:|&,(<]\s*$", bare[max(0, at - 40) : at]):
+            return at
+        at = _close(bare, at) if c in "([" else at + 1
+    return end
+
+
 def _script(text: str) -> Iterator[tuple]:
     bare = _blank(text)
+
+    def row(begin: int, end: int, kind: str, name: str) -> tuple:
+        doc = _DOC.search(text, max(0, begin - 20_000), begin)
+        return text.count("\n", 0, begin) + 1, text.count("\n", 0, max(begin, end - 1)) + 1, kind, name or "anonymous", doc.group().strip() if doc else None
+
     for kind, pattern in _DECLARATIONS:
         for m in pattern.finditer(bare):
-            name = m.group("name")
-            if kind == "method" and (name in _NOT_METHODS or bare[m.start() : m.start("name")].strip() in ("return", "await", "new")):
-                continue
-            begin = m.start() + len(m.group()) - len(m.group().lstrip())
+            begin = m.end() - len(m.group().lstrip())
             found = kind
-            braces = kind in ("function", "class", "interface", "enum", "module", "method")
-            if kind == "binding":
-                found = "function" if m.group("arrow") else "constant" if m.group("word") == "const" and _CONSTANT.match(name) else "variable"
-            end = _end(bare, m.end() - (1 if kind in ("method", "module") else 0), braces)
-            start_line = text.count("\n", 0, begin) + 1
-            doc = _DOC.search(text, 0, m.start() + len(m.group()) - len(m.group().lstrip()))
-            yield start_line, text.count("\n", 0, max(begin, end - 1)) + 1, found, name or "anonymous", doc.group().strip() if doc else None
+            if kind in ("binding", "assigned", "default"):
+                arrow = m.group("arrow")
+                found = "method" if kind == "assigned" else "function" if arrow else "constant" if m.group("word") == "const" and _CONSTANT.match(m.group("name")) else "variable"
+                end = _end(bare, m.end(), False)
+                value = m.end() + len(bare[m.end() :]) - len(bare[m.end() :].lstrip())
+                yield row(begin, end, found, m.group("name"))
+                if kind == "binding" and not arrow and bare[value : value + 1] == "{":
+                    for a, b, member in _members(bare, value, "object"):
+                        yield row(a, b, "method", member)
+            else:
+                head = m.end() + len(bare[m.end() :]) - len(bare[m.end() :].lstrip())
+                head = _close(bare, head, "<>()[]{}") if bare[head : head + 1] == "<" else m.end()
+                end = _end(bare, head - (kind == "module"), kind != "type_alias")
+                brace = _skip_to(bare, head, end, "{") if kind in ("class", "interface") else end
+                yield row(begin, end, found, m.group("name"))
+                if brace < end and bare[brace] == "{":
+                    for a, b, member in _members(bare, brace, kind):
+                        yield row(a, b, "method", member)
 
 
 def definitions_of(text: str | None, extension: str) -> list[tuple]:

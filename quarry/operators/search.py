@@ -197,16 +197,37 @@ def _plain_tokens(text: str) -> list[str]:
 
 
 def _starts(words: Column, phrase: list[str], prefix: bool) -> Column:
-    """The places at which a phrase begins."""
-    n = len(phrase)
-    exact = phrase[:-1] if prefix else phrase
+    """The places at which a phrase begins. No function captures the words, which would be worked out again for each of them."""
 
-    def at(i: Column) -> Column:
-        found = F.lit(True) if not exact else F.slice(words, i + 1, len(exact)) == F.array(*[F.lit(w) for w in exact])
-        return found & F.startswith(F.coalesce(F.try_element_at(words, (i + n).cast("int")), F.lit("")), F.lit(phrase[-1])) if prefix else found
+    def is_word(k: int):
+        whole = not (prefix and k == len(phrase) - 1)
+        return lambda w: w == phrase[k] if whole else F.startswith(w, F.lit(phrase[k]))
 
-    last = F.size(words) - n
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))
+    flags = F.transform(words, is_word(0))
+    for k in range(1, len(phrase)):
+        behind = F.transform(words, is_word(k))
+        flags = F.zip_with(flags, F.slice(behind, F.lit(k + 1), F.greatest(F.size(behind) - k, F.lit(0))), lambda a, b: F.coalesce(a & b, F.lit(False)))
+    return F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda x: x.isNotNull())
+
+
+def _near(words: Column, phrases: list[tuple[list[str], bool]], between: int) -> Column:
+    """Whether all phrases stand near each other: one walk over their places in order, with the last place of each."""
+
+    def placed(k: int):
+        return lambda at: F.struct(at.alias("at"), F.lit(k).alias("which"))
+
+    places = F.array_sort(F.concat(*[F.transform(_starts(words, p, prefix), placed(k)) for k, (p, prefix) in enumerate(phrases)]))
+    nowhere = F.lit(-(1 << 30))
+    start = F.struct(F.lit(False).alias("near"), *[nowhere.alias(f"last{k}") for k in range(len(phrases))])
+
+    def step(state: Column, place: Column) -> Column:
+        last = [F.when(place["which"] == k, place["at"]).otherwise(state[f"last{k}"]) for k in range(len(phrases))]
+        together = F.lit(True)
+        for (p, _), at in zip(phrases, last):
+            together = together & (place["at"] - at <= len(p) + between)
+        return F.struct((state["near"] | together).alias("near"), *[at.alias(f"last{k}") for k, at in enumerate(last)])
+
+    return F.aggregate(places, start, step, lambda state: state["near"])
 
 
 def match_condition(words: Column, line: Column, tree: tuple) -> Column:
@@ -219,16 +240,10 @@ def match_condition(words: Column, line: Column, tree: tuple) -> Column:
         phrases = [(_plain_tokens(text), prefix) for _, text, prefix, _ in tree[1]]
         if not all(p for p, _ in phrases):
             return F.lit(False)
-        starts = [_starts(words, p, prefix) for p, prefix in phrases]
-
-        def around(last: Column) -> Column:
-            condition = F.lit(True)
-            for (p, _), places in zip(phrases, starts):
-                condition = condition & F.exists(places, lambda t, n=len(p): t.between(last - n - tree[2], last))
-            return condition
-
-        present = match_condition(words, line, ("and", tree[1][0], tree[1][-1]))
-        return F.when(present, F.exists(F.flatten(F.array(*starts)), around)).otherwise(False)
+        present = F.lit(True)
+        for phrase in tree[1]:
+            present = present & match_condition(words, line, phrase)
+        return F.when(present, _near(words, phrases, tree[2])).otherwise(False)
     _, text, prefix, first = tree
     phrase = _plain_tokens(text)
     if not phrase:

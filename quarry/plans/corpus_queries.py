@@ -622,7 +622,7 @@ def j1_hits_with_homes(spark, d):
 
 @query(rf"""SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string({_TOKENS.format("coalesce(text, '')")}, ' ') || ' ', ' for the ') AND contains(' ' || array_to_string({_TOKENS.format("coalesce(text, '')")}, ' ') || ' ', ' serv')""")
 def r11_phrase_and_prefix(spark, d):
-    return S.matching(table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text"), '"for the" AND serv* -')
+    return S.matching(table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text"), '"for the" AND serv*')
 
 
 _VECTOR = [round(((i * 37) % 19 - 9) / 30, 4) for i in range(64)]

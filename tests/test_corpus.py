@@ -16,7 +16,9 @@ from quarry.operators import graph as G
 from quarry.operators import relational as R
 from quarry.operators import resolve as V
 from quarry.operators import search as S
+from quarry.operators.text_index import TextIndex
 from quarry.sources import repository as T
+from quarry.sources import scip
 from quarry.sources import sinks as K
 from quarry.streaming import jobs as J
 
@@ -160,7 +162,41 @@ def test_full_text(spark):
     assert ranked == [2, 1] and all(r.rank <= 0 for r in S.bm25(docs, "quick").collect())
     assert {r.id for r in S.bm25(docs, "fox sl", prefix=True).collect()} == {5} and {r.id for r in S.bm25(docs, "slow quick", match_all=False).collect()} == {1, 2, 5}
     assert S.bm25(docs, "??").count() == 0 and S.bm25(docs.limit(0), "fox").count() == 0
-    assert {r.id for r in S.matching(docs, '"quick brown" fo* -').collect()} == {1}
+    assert {r.id for r in S.matching(docs, '"quick brown" fo*').collect()} == {1}
+
+
+QUERIES = [
+    ("quick OR slow", {1, 2, 5}), ("fox NOT quick", {5}), ("fox AND NOT_THERE", set()), ("(quick OR slow) NOT brown", {2, 5}), ("NEAR(the brown, 1)", {1}), ("NEAR(the fox, 1)", set()), ("NEAR(fox the)", {1}), ("^quick", {2}), ("quick + brown", {1}), ('"slow fox"', {5}),
+    ("brown OR slow quick", {1}), ("brown OR slow fox", {1, 5}), ('"" OR slow', {5}), ("near", set()),
+]
+
+
+@pytest.mark.parametrize(("text", "ids"), QUERIES)
+def test_query_grammar(spark, text, ids):
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "Quick QUICK fox"), (3, None), (4, ""), (5, "slow fox")], "id bigint, text string")
+    assert {r.id for r in S.matching(docs, text).collect()} == ids
+
+
+@pytest.mark.parametrize("text", ["", "a AND", "OR a", "(a", "a)", '"a', "a-b", "NEAR(a, b)", "*", "a ? b"])
+def test_broken_queries(text):
+    with pytest.raises(S.QueryError):
+        S.parse_query(text)
+
+
+def test_index_is_kept_up_to_date(spark, tmp_path):
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    assert index.bm25("fox").count() == 0
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "Quick QUICK fox"), (3, None), (4, ""), (5, "slow fox"), (5, "slow fox"), (None, "fox")], "id bigint, text string")
+    index.upsert(docs)
+    index.upsert(spark.createDataFrame([(1, "no more"), (6, "fox fox")], "id bigint, text string"))
+    index.delete(spark.createDataFrame([(2,), (99,)], "id bigint"))
+    now = spark.createDataFrame([(1, "no more"), (3, None), (4, ""), (5, "slow fox"), (6, "fox fox")], "id bigint, text string")
+    for _ in range(2):
+        for query, prefix in (("fox", False), ("fox sl", True), ("s", True), ("quick", False)):
+            want = {r.id: round(r["rank"], 9) for r in S.bm25(now, query, prefix=prefix).collect()}
+            assert {r.id: round(r["rank"], 9) for r in index.bm25(query, prefix=prefix).collect()} == want
+        index.compact()
+    assert len(index._segments()) == 1
 
 
 def test_vectors(spark):
@@ -258,6 +294,50 @@ def test_script_definitions():
     assert [d for _, _, n, _, d, _ in E.definitions_of(text, "ts") if n == "f"] == ["/** Doc of f. */"]
 
 
+SCRIPT = """
+@Component({a: '{'}) export class A<T extends { x: number }> extends B {
+  @Input() readonly name?: string = "x";
+  static handler = async (e: Event): Promise<void> => {
+    if (e) { call(e); }
+  };
+  constructor(
+    private a: Map<string, () => void>,
+    b = { c: 1 },
+  ) { super(); }
+  @dec(1) async *items<U>(
+    x: U,
+  ): AsyncGenerator<{ y: U }> {
+    for (const i of x) { yield i; }
+  }
+  abstract size(): { n: number };
+  get #p() { return `${'}'}`; }
+}
+interface I { m(a: string): void; f: (x: number) => void; readonly n: number }
+const api = { run(a) { return a; }, stop: () => { }, n: 1, ...other };
+Foo.prototype.bar = function (x) { return x; };
+export default (a, b) => a + b;
+let x = 1; function late() { }
+const typed: (a: number) => void = (a) => { };
+"""
+
+
+def test_members_of_classes_interfaces_and_objects():
+    got = {(n, k): (s, e) for s, e, n, k, _, _ in E.definitions_of(SCRIPT, "ts")}
+    assert got["A", "class"] == (2, 18) and got["handler", "method"] == (4, 6) and got["constructor", "method"] == (7, 10) and got["items", "method"] == (11, 15) and got["size", "method"] == (16, 16) and got["p", "method"] == (17, 17)
+    assert got["I", "interface"] == (19, 19) and got["api", "variable"][0] == 20 and got["bar", "method"] == (21, 21) and got["anonymous", "function"] == (22, 22) and got["typed", "function"] == (24, 24)
+    assert ("x", "variable") in got or ("late", "function") in got  # one definition a line
+
+
+def test_symbol_indexes(spark):
+    documents = [("a.ts", [("s#", 1, 0, 2, 0, 9), ("local 1", 0, 3, 0, 4, 200)], [("s#", "S"), ("t#", None)]), ("b.ts", [], [])]
+    assert list(scip.read_index(scip.write_index(documents))) == documents
+    occurrences, symbols = scip.parse_indexes(spark.createDataFrame([("i", bytearray(scip.write_index(documents))), ("empty", None)], "name string, content binary"))
+    assert [(r.file, r.symbol, r.role_bits, r.end_char, r.pos) for r in occurrences.orderBy("pos").collect()] == [("a.ts", "s#", 1, 9, 0), ("a.ts", "local 1", 0, 200, 1)]
+    assert [(r.symbol, r.display_name) for r in symbols.orderBy("pos").collect()] == [("s#", "S"), ("t#", None)]
+    with pytest.raises(ValueError, match="within a field"):
+        list(scip.read_index(b"\x12\x05ab"))
+
+
 def test_extract_table(spark):
     files = spark.createDataFrame([(1, "a.py", "x = 1", 0), (2, "b.md", "# x", 0), (3, None, "x", 0), (4, "c.js", None, 0)], "id bigint, file_path string, file_content string, name int")
     assert [(r.file_id, r.name) for r in E.extract(files).collect()] == [(1, "x")]
