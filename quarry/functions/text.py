@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Language names by extension; fixed values.
 INGEST_LANGUAGES = {".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".py": "python"}
 VIEW_LANGUAGES = INGEST_LANGUAGES | {".json": "json", ".md": "markdown", ".css": "css", ".html": "html", ".yml": "yaml", ".yaml": "yaml", ".sql": "sql", ".sh": "bash"}
-#: Letters with a diacritic and the letter that remains of them; fixed values, paired by position.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def _folding() -> dict[str, str]:
+    """Each composed small letter and the letter that its canonical decomposition has before the marks, by the rule of Unicode."""
+    table = {}
+    for code in range(0xC0, 0x2000):
+        letter = chr(code)
+        first, *marks = unicodedata.normalize("NFD", letter)
+        if letter.islower() and marks and all(unicodedata.combining(m) for m in marks):
+            table[letter] = first
+    return table
+
+
+_FOLDING = _folding()
+_ACCENTED, _FOLDED = "".join(_FOLDING), "".join(_FOLDING.values())
 
 
 def fold(text: Column) -> Column:
@@ -74,9 +88,9 @@ def strict(value: Column, text: Column, message: str) -> Column:
 
 
 def placeholder_summary(kind: Column, name: Column, content: Column) -> Column:
-    """A summary without a model: kind, name and the start of the content in one line."""
-    head = F.trim(F.regexp_replace(F.substring(content, 1, 100), r"[\r\n]+", " "))
-    return F.format_string("%s %s: %s", kind, name, head)
+    """A summary without a model: kind, name and the start of the content in one line; nulls count as empty."""
+    head = F.trim(F.regexp_replace(F.substring(F.coalesce(content, F.lit("")), 1, 100), r"[\r\n]+", " "))
+    return F.format_string("%s %s: %s", kind, F.coalesce(name, F.lit("")), head)
 
 
 def symbol_name(symbol: Column) -> Column:

@@ -526,7 +526,7 @@ def i1_file_changes(spark, d):
 
 
 _BARE = r"sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(source_code, '\b' || regexp_escape(name) || '\b', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)))"
-_NUMBERED = "SELECT file_id AS file, h AS code_hash, row_number() OVER (PARTITION BY file_id, h ORDER BY start_line, id) AS occurrence FROM (SELECT DISTINCT id, file_id, start_line, {0} AS h FROM definitions WHERE source_code IS NOT NULL AND name <> '' AND {0} IS NOT NULL)"
+_NUMBERED = "SELECT file_id AS file, h AS code_hash, row_number() OVER (PARTITION BY file_id, h ORDER BY start_line, id) AS occurrence FROM (SELECT DISTINCT id, file_id, start_line, {0} AS h FROM definitions)"
 
 
 @query(f"""WITH o AS ({_NUMBERED.format("source_code_hash")}), n AS ({_NUMBERED.format(_BARE)})
@@ -534,9 +534,9 @@ SELECT coalesce(o.file, n.file) AS file, coalesce(o.code_hash, n.code_hash) AS c
 FROM o FULL JOIN n ON o.file = n.file AND o.code_hash = n.code_hash AND o.occurrence = n.occurrence""")
 def i3_definition_changes(spark, d):
     """Stored hashes, some of them stale, against those of the code as it is."""
-    rows = table(spark, d, "definitions", "id", "file_id", "name", "source_code", "source_code_hash", "start_line").distinct().filter("source_code IS NOT NULL AND name <> ''")
+    rows = table(spark, d, "definitions", "id", "file_id", "name", "source_code", "source_code_hash", "start_line").distinct()
     place = [F.col("file_id").alias("file"), F.struct("start_line", "id").alias("position")]
-    stored = rows.filter("source_code_hash IS NOT NULL").select(*place, F.col("source_code_hash").alias("code_hash"))
+    stored = rows.select(*place, F.col("source_code_hash").alias("code_hash"))
     return D.definition_changes(stored, rows.select(*place, X.stable_hash(F.col("source_code"), F.col("name")).alias("code_hash")))
 
 
@@ -546,7 +546,13 @@ def i7_ids_to_embed(spark, d):
     return R.present(table(spark, d, "definitions", "id", "ai_summary"), "ai_summary").join(seeds, "id", "left_semi").select(F.col("id").alias("entity_id")).distinct()
 
 
-@query()
+_LEVELS = f"""{_STRONG}, k AS MATERIALIZED (SELECT DISTINCT p.component AS src, q.component AS dst FROM e JOIN s p ON p.node = e.src JOIN s q ON q.node = e.dst WHERE p.component <> q.component),
+l AS (SELECT component AS node, 0 AS level FROM s UNION SELECT k.src, l.level + 1 FROM k JOIN l ON k.dst = l.node),
+v AS MATERIALIZED (SELECT f.id AS node, coalesce(s.component, f.id) AS component, coalesce(max(l.level), 0) AS level FROM (SELECT DISTINCT id FROM files) f LEFT JOIN s ON s.node = f.id LEFT JOIN l ON l.node = s.component GROUP BY ALL)"""
+
+
+@query(f"""{_LEVELS}, h AS (SELECT id AS node FROM {_SEEDS} UNION SELECT e.src FROM e JOIN h ON e.dst = h.node)
+SELECT h.node, CASE WHEN h.node IN (SELECT id FROM {_SEEDS}) THEN 'changed' ELSE 'ancestor' END AS phase, v.level FROM h JOIN v ON v.node = h.node""")
 def i6_schedule(spark, d):
     edges = _edges(spark, d)
     changed = g3_seeds(spark, d).filter("kind = 'file'").select("node")
@@ -687,9 +693,9 @@ def x1_comments_stripped(spark, d):
 
 
 @query(r"""SELECT DISTINCT id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(source_code, '\b' || regexp_escape(name) || '\b', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS h
-FROM definitions WHERE source_code IS NOT NULL AND name <> ''""")
+FROM definitions""")
 def x2_stable_hash(spark, d):
-    return table(spark, d, "definitions", "id", "name", "source_code").filter("source_code IS NOT NULL AND name <> ''").select("id", X.stable_hash(F.col("source_code"), F.col("name")).alias("h")).distinct()
+    return table(spark, d, "definitions", "id", "name", "source_code").select("id", X.stable_hash(F.col("source_code"), F.col("name")).alias("h")).distinct()
 
 
 @query(f"SELECT doc_id, {_WORDS.format('text')} AS words, {_WORDS.format('text')} * 4 // 3 AS tokens FROM documents")
@@ -703,9 +709,9 @@ def x6_gist(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", X.gist_short(t).alias("short"), X.gist_full(t).alias("rest")).filter("short IS NOT NULL")
 
 
-@query(r"SELECT DISTINCT id, 'definition ' || name || ': ' || trim(regexp_replace(substring(source_code, 1, 100), '[\r\n]+', ' ', 'g')) AS summary FROM definitions WHERE source_code IS NOT NULL AND name IS NOT NULL")
+@query(r"SELECT DISTINCT id, 'definition ' || coalesce(name, '') || ': ' || trim(regexp_replace(substring(coalesce(source_code, ''), 1, 100), '[\r\n]+', ' ', 'g')) AS summary FROM definitions")
 def x7_placeholder(spark, d):
-    return table(spark, d, "definitions", "id", "name", "source_code").filter("source_code IS NOT NULL AND name IS NOT NULL").select("id", X.placeholder_summary(F.lit("definition"), F.col("name"), F.col("source_code")).alias("summary")).distinct()
+    return table(spark, d, "definitions", "id", "name", "source_code").select("id", X.placeholder_summary(F.lit("definition"), F.col("name"), F.col("source_code")).alias("summary")).distinct()
 
 
 @query("SELECT DISTINCT id, name, file_path || '#' AS head FROM (SELECT d.id, regexp_replace(d.name, '[0-9]+$', '') AS name, f.file_path FROM definitions d JOIN files f ON f.id = d.file_id WHERE regexp_matches(d.name, '[^0-9]'))")
@@ -780,7 +786,11 @@ def e3_embeddings(spark, d):
     return H.embed(H.embedding_text(table(spark, d, "definitions", "id", "ai_summary", "name", "definition_type").distinct()))
 
 
-@query()
+_HEAD = r"trim(regexp_replace(substring(coalesce(f.file_content, ''), 1, 100), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]+', ' ', 'g'))"
+
+
+@query(f"""{_LEVELS}, z AS (SELECT e.src AS node, count(DISTINCT e.dst) AS n FROM e JOIN v p ON p.node = e.src JOIN v q ON q.node = e.dst WHERE p.component <> q.component GROUP BY ALL)
+SELECT v.node, v.level, substring(f.file_path || ': ' || {_HEAD}, 1, 120) AS short, f.file_path || ' (' || coalesce(z.n, 0) || ' dependencies): ' || {_HEAD} AS full FROM v JOIN (SELECT DISTINCT id, file_path, file_content FROM files) f ON f.id = v.node LEFT JOIN z ON z.node = v.node""")
 def e4_summaries(spark, d):
     edges = _edges(spark, d)
     nodes = table(spark, d, "files", "id", "file_path", "file_content").dropDuplicates(["id"]).select(F.col("id").alias("node"), F.col("file_path").alias("name"), F.col("file_content").alias("text"))
