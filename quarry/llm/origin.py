@@ -63,6 +63,8 @@ MAYBE_VENDORED_DIRS = ("vendor", "external", "deps")
 SOURCE_DIRS = ("src", "lib", "app", "apps", "tests", "test")
 LOCK_NAMES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock", "pipfile.lock", "cargo.lock", "gemfile.lock", "go.sum", "uv.lock", "bun.lock", "deno.lock")
 
+#: What makes values data and not a few constants that someone wrote: so many of them, or so many characters in them.
+LEAST_VALUES, LEAST_CHARS = 40, 512
 CODE = frozenset("py js jsx ts tsx mjs cjs css sql sh java go rb php c cc cpp h hpp cs rs kt swift".split())
 _GENERATED_NAME = re.compile(r"\.(?:generated|g|gen|pb|designer|auto)\.\w+$|_(?:generated|pb2?|pb2_grpc|gen|g)\.\w+$|\.pb\w*\.\w+$")
 _MINIFIED_NAME = re.compile(r"\.(?:min|bundle|chunk|prod)\.\w+$")
@@ -75,6 +77,8 @@ _WATER = re.compile(
     r"(?P<literal>\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`)|/\*[\s\S]*?\*/|(?<![:\"'\w])//[^\n]*|^\s*#[^\n]*", re.M
 )
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)(?![\w.])")
+#: Comments and the text that open a module.
+_OPENING = re.compile(r"\ufeff?(?:\s|#[^\n]*\n)*(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})?")
 _BINDS = re.compile(r"=|\bexport\s+default\b")
 _ACTS = re.compile(r"\b(?:def|function|class|return|if|for|while|interface|enum|lambda|SELECT|switch|await|extends|echo)\b|=>|[A-Za-z_]\w*\(")
 
@@ -165,11 +169,16 @@ def by_content(text: str, path: str) -> str | None:
         on_long = sum(len(x) for x in bare.split("\n") if len(x) > 400)
         if on_long > 0.6 * len(bare) and longest > 500 and bare.count(" ") < 0.1 * len(bare) and len(_ACTS.findall(bare)) >= 5:
             return "minified"
-    # Literals that are bound to a name or exported; comments, or the text that opens a module, are no data.
-    numbers = sum(map(len, _NUMBER.findall(bare)))
-    strings = sum(len(m.group()) for m in _WATER.finditer(text) if m.lastgroup)
-    words = re.sub(r"[\W\d]+", "", _NUMBER.sub("", bare))
-    if len(words) < 0.08 * len(text) and len(_ACTS.findall(bare)) <= 1 and _BINDS.search(bare) and numbers + strings > 0.4 * (len(bones) + strings):
+    # Values that are bound to a name or exported; comments, or the text that opens a module, are none.
+    body = text[_OPENING.match(text).end() :]
+    literals = [len(m.group()) for m in _WATER.finditer(body) if m.lastgroup]
+    bare = _WATER.sub(lambda m: "''" if m.lastgroup else "", body)
+    numbers = [len(n) for n in _NUMBER.findall(bare)]
+    if len(literals) + len(numbers) < LEAST_VALUES and sum(literals) + sum(numbers) < LEAST_CHARS:
+        return None
+    bones = len(re.sub(r"\s+", "", bare))
+    words = len(re.sub(r"[\W\d]+", "", _NUMBER.sub("", bare)))
+    if words < 0.08 * len(body) and len(_ACTS.findall(bare)) <= 1 and _BINDS.search(bare) and sum(numbers) + sum(literals) > 0.4 * (bones + sum(literals)):
         return "data"
     return None
 

@@ -342,10 +342,10 @@ VOTES = [
     ("sentences", "prose", "sentence_share >= 0.5"),
     ("common", "prose", "common_words >= 0.2"),
     ("stops", "prose", "punctuated_lines >= 0.5"),
-    ("lists", "list", "list_share + navigation_share > 0.3"),
-    ("tables", "table", "table_share > 0.3"),
-    ("code", "code", "code_share > 0.3"),
-    ("noise", "junk", "noise_share + repeated_share > 0.3"),
+    ("lists", "list", "list_share + navigation_share > 0.5"),
+    ("tables", "table", "table_share > 0.5"),
+    ("code", "code", "code_share > 0.5"),
+    ("noise", "junk", "noise_share + repeated_share > 0.5"),
 ]
 
 

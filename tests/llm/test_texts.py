@@ -106,6 +106,8 @@ ORIGINS = [
     ("r/src/a.py", "# " + "a comment alone\n# " * 60, None),
     ("r/src/a.py", '"""' + "The text that opens a module. " * 40 + '"""\n', None),
     ("r/src/a.py", " \n", None),
+    ("r/src/a.py", '"""' + "The text that opens a module. " * 20 + '"""\n\nPAYLOAD = {\n    "guide": 795,\n    "billing": 284,\n    "buffer": 12,\n}\n', None),
+    ("r/src/a.py", '"""Text."""\nBLOB = "' + BLOB[:600] + '"\n', "data"),
     ("r/a.md", "| 1 | 2 |\n" * 100, None),
     ("r/src/a.py", "", None),
     (None, HAND, None),
@@ -151,6 +153,15 @@ def test_types(spark):
     assert got[100].word_count == 24 and len(got) == len({r[0] for r in rows})
 
 
+def test_the_model_learns_from_agreement_alone():
+    patterns = {0b0000111: 600, 0b0000011: 60, 0b0000001: 5, 0b0001000: 90, 0b0001010: 10, 0b0010000: 60, 0b0100000: 50, 0b1000000: 40, 0b1000100: 5, 0: 3}
+    model = quality.learn(patterns)
+    rows = {name: (fires, accuracy, coverage) for name, _, fires, accuracy, coverage in model.accuracies()}
+    assert rows["sentences"][1] > 0.95 and rows["stops"][2] < rows["sentences"][2] and all(0 < v < 1 for r in rows.values() for v in r)
+    assert model.posterior(0b0000111)[0] > 0.99 and max(range(5), key=model.posterior(0b0001010).__getitem__) == quality.TYPES.index("list")
+    assert abs(sum(model.priors) - 1) < 1e-9 and quality.learn({}).posterior(0)
+
+
 def test_types_of_an_empty_table(spark):
     assert typed(spark, []) == {}
 
