@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from quarry.session import shared_folder
 
 #: Queries, and numbers in their vectors, that are sent to the tasks at once: 16 MB.
 BLOCK, BLOCK_NUMBERS = 10_000, 2_000_000
+#: Queries whose distances to a batch are held at once.
+CHUNK = 256
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -295,29 +298,44 @@ def _blocks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
 
 
 def _nearest_of_block(vectors: DataFrame, rows: list[tuple]) -> DataFrame:
-    """query_id, entity_id, distance, k: at least the k nearest vectors of each query; each task keeps its own best."""
+    """query_id, entity_id, distance, k: at least the k nearest vectors of each query; each task keeps its own best.
+
+    The block of queries is broadcast. Products of matrices give all distances of a batch at once up to rounding; those that may be among
+    the k nearest are then worked out exactly, so that the result does not depend on how rows are batched.
+    """
     import numpy as np
 
-    ids, matrix, ks = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), [r[2] for r in rows]
+    ids, ks = [r[0] for r in rows], [r[2] for r in rows]
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=np.float64))
 
     def best(batches):
+        queries = shared.value
+        squares = (queries**2).sum(axis=1) if len(ids) else None
         kept: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for pdf in batches:
-            if not len(pdf) or not ids:
+        for batch in batches:
+            n = batch.num_rows
+            if not n or not ids:
                 continue
-            block = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            entities = pdf["entity_id"].to_numpy()
-            for q in range(len(ids)):
-                d = np.sqrt(((block - matrix[q]) ** 2).sum(axis=1))
-                n = min(ks[q], len(d))
-                edge = np.partition(d, n - 1)[n - 1]
-                near = np.flatnonzero(d <= edge)
-                kept[q] = sorted([*kept[q], *zip(d[near].tolist(), entities[near].tolist())])[: ks[q]]
-        import pandas as pd
-
-        yield pd.DataFrame([(ids[q], int(e), d, ks[q]) for q in range(len(ids)) for d, e in kept[q]], columns=["query_id", "entity_id", "distance", "k"])
-
-    return vectors.filter("embedding IS NOT NULL").select("entity_id", "embedding").mapInPandas(best, "query_id bigint, entity_id bigint, distance double, k int")
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(flat) != n * queries.shape[1]:
+                raise ValueError("the vectors and the queries differ in length")
+            block, entities = flat.reshape(n, -1), batch.column(0).to_numpy(zero_copy_only=False)
+            own = (block**2).sum(axis=1)
+            for at in range(0, len(ids), CHUNK):
+                part = slice(at, at + CHUNK)
+                near = own[:, None] + squares[part] - 2 * (block @ queries[part].T)
+                slack = 1e-9 * (own.max() + squares[part].max() + 1)
+                for j in range(near.shape[1]):
+                    q = at + j
+                    edge = np.partition(near[:, j], min(ks[q], n) - 1)[min(ks[q], n) - 1]
+                    found = np.flatnonzero(near[:, j] <= edge + slack)
+                    exact = np.sqrt(((block[found] - queries[q]) ** 2).sum(axis=1))
+                    kept[q] = sorted([*kept[q], *zip(exact.tolist(), entities[found].tolist())])[: ks[q]]
+        flat_rows = [(ids[q], int(e), d, ks[q]) for q in range(len(ids)) for d, e in kept[q]]
+        columns = list(zip(*flat_rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()))], names=["query_id", "entity_id", "distance", "k"])
+
+    return vectors.filter("embedding IS NOT NULL").select("entity_id", "embedding").mapInArrow(best, "query_id bigint, entity_id bigint, distance double, k int")
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, default_k: int = 10) -> DataFrame:
