@@ -97,6 +97,13 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """The edges between nodes that have edges in both directions."""
+    ends = links.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(links.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    alive = ends.groupBy("node").agg(F.max("out").alias("out"), F.max("into").alias("into")).filter("out = 1 AND into = 1").select("node")
+    return links.join(alive.withColumnRenamed("node", "src"), "src", "left_semi").join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 def strongly_connected(edges: DataFrame, max_rounds: int = 200, small_limit: int = small.LIMIT) -> DataFrame:
     """node, component: components in which each node reaches each other one, named by their largest node.
 
@@ -111,8 +118,8 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200, small_limit: int
     n_links = links.count()
     for _ in range(max_rounds):
         while True:
-            # What nothing leads to, or leads on from nothing, is in no cycle; trimming needs one count a round, of what is left.
-            links = checkpoint(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            # What nothing leads to, or leads on from nothing, is in no cycle.
+            links = checkpoint(_trimmed(links))
             left = links.count()
             if left == n_links:
                 break

@@ -250,6 +250,23 @@ def g_components_of_large_ids_in_one_task(spark, d):
     return G.connected_components(p.select((F.col("p_partkey") + base).alias("src"), (F.expr("p_partkey - p_partkey % 10 + p_partkey % 3") + base).alias("dst")))
 
 
+@query(f"{Q._STRONG} SELECT node, component FROM s")
+def g6_strong_components_in_rounds(spark, d):
+    """By the distributed rounds, whatever the size."""
+    return G.strongly_connected(Q._edges(spark, d), small_limit=0)
+
+
+@query(Q._PART_LEVELS + " SELECT node, node AS component, level FROM m")
+def g8_levels_in_rounds(spark, d):
+    return G.levels(table(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("node")), Q._part_edges(spark, d), small_limit=0)
+
+
+@query(Q.SQL["g5_file_closure"])
+def g5_file_closure_in_rounds(spark, d):
+    seeds = Q.g3_seeds(spark, d).filter("kind = 'file'").select("node")
+    return G.reverse_closure(Q._edges(spark, d), seeds, small_limit=0).select("node")
+
+
 # -- order ----------------------------------------------------------------------------------------------------------------
 @query("SELECT id, name FROM (SELECT DISTINCT id, name FROM definitions WHERE starts_with(lower(name), 'get')) ORDER BY id LIMIT 25 OFFSET 10")
 def o4_navigation_page(spark, d):
