@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -71,7 +70,6 @@ _CODE_SHAPE = re.compile(r"[{}()=;\[\]<>_`$\"'|]|\w\.\w")
 _SHAPED = re.compile(r"[\t|<>·»/•;]|\s\s|^.[.)]")
 _NAVIGATES = re.compile(r" [|·>»/•] ")
 _CELLS = re.compile(r"\s{2,}|\t")
-_SENTENCE_END = re.compile(r"[.!?…。][\"'”’»)\]]*\s+")
 
 #: Columns of the statistics besides doc_id, in the order of the tuple that ``measure`` gives.
 FIELDS = (
@@ -83,9 +81,13 @@ FIELDS = (
 class Runs(dict):
     """What is known of a run of characters without blanks, worked out once and looked up after that.
 
-    run: (is a word, its words, their letters, common ones among them, signs, the number of each word among the common ones or 0).
+    run: (is a word, its words, their letters, common ones among them, signs, the number of each word among the common ones or 0,
+    whether a sentence can end with it, whether it names code, the first three figures in one number, the next two in another).
+    A text shorter than ``FIELD`` characters is summed by these two numbers, as no figure outgrows its part.
     """
 
+    FIELD = 1 << 20
+
     #: Runs that are held at once; a text brings new ones for ever, as numbers and ids do.
     MOST = 300_000
 
@@ -93,22 +95,30 @@ class Runs(dict):
         super().__init__()
         self.numbers = {w: i + 1 for i, w in enumerate(sorted(common))}
 
-    def __missing__(self, run: str) -> tuple[bool, int, int, int, int, tuple[int, ...]]:
-        if run.isalpha():
-            number = self.numbers.get(run.lower(), 0)
-            found = (True, 1, len(run), int(number > 0), 0, (number,))
-        elif (core := run.strip(_PUNCTUATION)).isalpha():
+    def __missing__(self, run: str) -> tuple:
+        core = run if run.isalpha() else run.strip(_PUNCTUATION)
+        stops = run[-1] in _LAST and _STOP.search(run) is not None
+        if core.isalpha():
             number = self.numbers.get(core.lower(), 0)
-            found = (True, 1, len(core), int(number > 0), len(run) - len(core), (number,))
+            found = (True, 1, len(core), int(number > 0), len(run) - len(core), (number,), stops, "inlinecode" in run)
         else:
             words = _WORD.findall(run)
             marks = tuple(self.numbers.get(w.lower(), 0) for w in words)
-            found = (_ALNUM.search(run) is not None, len(words), sum(map(len, words)), len(marks) - marks.count(0), len(_SYMBOL.findall(run)), marks)
+            found = (_ALNUM.search(run) is not None, len(words), sum(map(len, words)), len(marks) - marks.count(0), len(_SYMBOL.findall(run)), marks, stops, "inlinecode" in run)
         if len(self) >= self.MOST:
             self.clear()
-        self[run] = found
+        is_word, words, letters, common, signs = found[:5]
+        found = self[run] = (*found, is_word + words * self.FIELD + letters * self.FIELD**2, common + signs * self.FIELD)
         return found
 
+    def sums(self, entries: list[tuple], short: bool) -> tuple[int, int, int, int, int]:
+        """The first five figures summed over the entries of a text."""
+        if not short:
+            return tuple(sum(e[i] for e in entries) for i in range(5))
+        a, b = sum([e[8] for e in entries]), sum([e[9] for e in entries])
+        low = self.FIELD - 1
+        return a & low, a // self.FIELD & low, a // self.FIELD**2, b & low, b // self.FIELD
+
 
 @lru_cache(maxsize=2)
 def runs_of(common: frozenset[str]) -> Runs:
@@ -199,14 +209,7 @@ def _kind(line: str, n: int, stops: bool) -> str:
     return "text"
 
 
-def _sentences_of(block: str) -> list[str]:
-    """The block cut behind the blanks that follow the end of a sentence, each sentence with its mark and without what closes it."""
-    found, at = [], 0
-    for m in _SENTENCE_END.finditer(block):
-        found.append(block[at : m.start() + 1])
-        at = m.end()
-    found.append(block[at:])
-    return found
+_KINDS = ("list", "table", "code", "navigation", "noise", "repeated", "sentence", "heading")
 
 
 def _wordless(line: str) -> bool:
@@ -226,22 +229,32 @@ class Meter:
         known = self.known
         stripped = _TAG.sub("\n", text) if "gist>" in text else text
         plain = _INLINE.sub(_inline, stripped) if "`" in stripped else stripped
-        shares: Counter = Counter()
-        blocks: list[list[str]] = []
+        shares = dict.fromkeys(_KINDS, 0)
+        #: What is known of all runs, as far as the lines have them as they stand in the text.
+        every: list[tuple] = []
+        exact = plain is stripped
+        #: The text lines in a row that belong together, as runs and what is known of them, and the last line of the last block.
+        blocks: list[tuple[list[str], list[tuple]]] = []
+        last = ""
         lines = punctuated = 0
         fenced = fresh = False
         for raw in plain.splitlines():
             line = _clean(raw)
             if not line:
+                exact = exact and not raw.strip()
                 fresh = True
                 continue
             lines += 1
-            stops = line[-1] in _LAST and _STOP.search(line) is not None
+            runs = line.split()
+            entries = [known[r] for r in runs]
+            every += entries
+            exact = exact and len(line) == len(raw.strip())
+            stops = entries[-1][6]
             punctuated += stops
             if line.startswith(("```", "~~~")):
                 fenced = not fenced
                 continue
-            n = sum([known[r][0] for r in (_CELL_TAG.sub(" ", line) if "<t" in line else line).split()])
+            n = sum([known[r][0] for r in _CELL_TAG.sub(" ", line).split()]) if "<t" in line else sum([e[0] for e in entries])
             kind = "code" if fenced else _kind(line, n, stops)
             if kind == "text" and n == 1 and len(line) > 30:
                 kind, n = "noise", max(1, len(line) // 8)
@@ -251,56 +264,66 @@ class Meter:
                 shares[kind] += n
                 fresh = True
                 continue
-            last = blocks[-1][-1] if blocks else ""
             if not fresh and blocks and len(last) >= 40 and not _TERMINAL.search(last):
-                blocks[-1].append(line)
+                blocks[-1][0].extend(runs)
+                blocks[-1][1].extend(entries)
             else:
-                blocks.append([line])
-            fresh = False
+                blocks.append((runs, entries))
+            last, fresh = line, False
         order, in_sentences, repeated = self._sentences(blocks, shares)
         shares["repeated"] = repeated
         shares["noise" if order is not None and order < ORDERED else "sentence"] += in_sentences - repeated
         total = sum(shares.values()) or 1
-        runs = stripped.split()
-        is_word, words, letters, common, signs, _ = zip(*[known[r] for r in runs]) if runs else [()] * 6
-        n_words, visible = sum(words), sum(map(len, runs))
+        if not exact:
+            every = [known[r] for r in stripped.split()]
+        n_runs, n_words, letters, common, signs = known.sums(every, len(stripped) < known.FIELD)
+        visible = len("".join(stripped.split())) if every else 0
         return (
-            sum(is_word),
-            sum(letters) / n_words if n_words else None,
-            sum(signs) / visible if visible else None,
+            n_runs,
+            letters / n_words if n_words else None,
+            signs / visible if visible else None,
             punctuated / lines if lines else None,
-            sum(common) / n_words if n_words else None,
+            common / n_words if n_words else None,
             *[(shares[k] + shares["heading"] * (k == "list")) / total for k in ("list", "table", "code", "navigation", "noise", "repeated", "sentence")],
             order,
         )
 
-    def _sentences(self, blocks: list[list[str]], shares: Counter) -> tuple[float | None, int, int]:
-        """The mean association of neighbouring common words, the words in sentences, and those in sentences that repeat; what is none goes to its share."""
-        known, pmi = self.known, self.pmi
-        sentences: list[str] = []
+    def _sentences(self, blocks: list[tuple[list[str], list[tuple]]], shares: dict[str, int]) -> tuple[float | None, int, int]:
+        """The mean association of neighbouring common words, the words in sentences, and those in sentences that repeat; what is none goes to its share.
+
+        A sentence ends behind a run that ends as one does, or with its block.
+        """
+        pmi = self.pmi
+        sentences: list[tuple[str, int]] = []
         associated, pairs = 0.0, 0
-        for block in blocks:
-            joined = " ".join(block)
-            for sentence in _sentences_of(joined):
-                words = [r for r in sentence.split() if known[r][0]]
-                if not words:
+        for runs, entries in blocks:
+            short = sum(map(len, runs)) + len(runs) - 1 < 60
+            ends = [i for i, e in enumerate(entries, 1) if e[6]]
+            if not ends or ends[-1] < len(entries):
+                ends.append(len(entries))
+            start = 0
+            for end in ends:
+                part = entries[start:end]
+                n = sum([e[0] for e in part])
+                stops = part[-1][6]
+                if not n:
                     shares["noise"] += 1
-                elif len(words) <= 8 and len(joined) < 60 and (len(words) < 4 or not _STOP.search(sentence) or len(words) <= 7):
-                    shares["list"] += len(words)
+                elif n <= 8 and short and (n < 4 or not stops or n <= 7):
+                    shares["list"] += n
                 else:
-                    marks = [m for r in words for m in known[r][5]]
+                    marks = [m for e in part if e[0] for m in e[5]]
                     found = [pmi[a][b] for a, b in zip(marks, marks[1:]) if a and b]
                     associated, pairs = associated + sum(found), pairs + len(found)
-                    shaped = "inlinecode" in sentence or sentence[:1].isupper() and _STOP.search(sentence)
-                    if len(marks) - marks.count(0) < 0.08 * len(words) and not shaped:
-                        shares["noise"] += len(words)
+                    if len(marks) - marks.count(0) < 0.08 * n and not (stops and runs[start][:1].isupper() or any([e[7] for e in part])):
+                        shares["noise"] += n
                     else:
-                        sentences.append(" ".join(words).lower())
+                        sentences.append((" ".join(runs[start:end]).lower(), n))
+                start = end
         in_sentences = repeated = 0
-        for sentence, run in groupby(sentences):
+        for (_, n), run in groupby(sentences):
             times = sum(1 for _ in run)
-            in_sentences += times * (sentence.count(" ") + 1)
-            repeated += times * (sentence.count(" ") + 1) * (times >= LEAST_RUN)
+            in_sentences += times * n
+            repeated += times * n * (times >= LEAST_RUN)
         return associated / pairs if pairs >= 5 else None, in_sentences, repeated
 
 
