@@ -149,6 +149,17 @@ def by_path(path: str) -> str | None:
     return "minified" if _MINIFIED_NAME.search(name) else None
 
 
+def _acts(body: str) -> bool:
+    """Whether code outside of literals and comments does something more than once; it is read no further than that shows."""
+    at = found = 0
+    for m in _WATER.finditer(body):
+        found += len(_ACTS.findall(body, at, m.start()))
+        if found > 1:
+            return True
+        at = m.end()
+    return found + len(_ACTS.findall(body, at)) > 1
+
+
 def by_content(text: str, path: str) -> str | None:
     """The kind by layout: lock file, minified code, or data stored as code."""
     name = path.lower().rpartition("/")[2]
@@ -162,6 +173,10 @@ def by_content(text: str, path: str) -> str | None:
     # An object that nothing is made of is configuration under a wrong name, not data that code stores.
     if extension not in CODE or text.lstrip("\ufeff \t\r\n")[:1] in ("{", "["):
         return None
+    body = text[_OPENING.match(text).end() :]
+    # Most files are settled here: lines of usual length, and code that acts.
+    if max(map(len, text.split("\n"))) <= 500 and _acts(body):
+        return None
     bare = _WATER.sub(lambda m: "''" if m.lastgroup else "", text)
     bones = re.sub(r"\s+", "", bare)
     if len(bones) >= 300 and extension not in ("sh", "sql"):
@@ -170,7 +185,6 @@ def by_content(text: str, path: str) -> str | None:
         if on_long > 0.6 * len(bare) and longest > 500 and bare.count(" ") < 0.1 * len(bare) and len(_ACTS.findall(bare)) >= 5:
             return "minified"
     # Values that are bound to a name or exported; comments, or the text that opens a module, are none.
-    body = text[_OPENING.match(text).end() :]
     literals = [len(m.group()) for m in _WATER.finditer(body) if m.lastgroup]
     bare = _WATER.sub(lambda m: "''" if m.lastgroup else "", body)
     numbers = [len(n) for n in _NUMBER.findall(bare)]
