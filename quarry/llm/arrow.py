@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 
 def seldom_collect() -> None:
     """Let a Python worker look for cycles of garbage seldom: these functions make none, but hold many small objects that each search goes through."""
-    gc.freeze()
     gc.set_threshold(500_000, 20, 100)
 
 

@@ -2,7 +2,8 @@
 
 For byte-pair encoding, each prefix of a byte string has exactly one valid encoding, and its last token is unique. ``Vocabulary.table``
 stores that last token for each prefix: the one token that ends there, whose own predecessor's encoding is stored already, and that
-may follow the predecessor's last token. Whether two tokens may follow each other is decided from the merge table alone, by undoing the
+may follow the predecessor's last token. This is the published linear-time way of encoding by valid pairs of tokens (backtrack-free
+byte-pair encoding with an automaton over the vocabulary). Whether two tokens may follow each other is decided from the merge table alone, by undoing the
 merges along their common border. Going back through the table from any prefix gives that prefix's exact encoding, so bytes can be
 appended without looking at what was encoded before, and an edit only re-encodes what comes after it, until the tables meet again.
 
@@ -36,7 +37,7 @@ DEFAULT_FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern by which this tokenizer cuts a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Numbers in a batch of encodings, beyond which the next text begins another one.
-PART = 4_000_000
+PART = 1_000_000
 #: Units, and words, whose encodings a task holds at once.
 CACHED_UNITS = 200_000
 
