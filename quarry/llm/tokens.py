@@ -2,9 +2,9 @@
 
 For byte-pair encoding, each prefix of a byte string has exactly one valid encoding, and its last token is unique. ``Vocabulary.table``
 stores that last token for each prefix: the one token that ends there, whose own predecessor's encoding is stored already, and that
-may follow the predecessor's last token. This is the published linear-time way of encoding by valid pairs of tokens (backtrack-free
-byte-pair encoding with an automaton over the vocabulary). Whether two tokens may follow each other is decided from the merge table alone, by undoing the
-merges along their common border. Going back through the table from any prefix gives that prefix's exact encoding, so bytes can be
+may follow the predecessor's last token. This is the published linear-time way of byte-pair encoding by valid pairs of tokens, with an
+automaton over the vocabulary. Whether two tokens may follow each other is decided from the merge table alone, by undoing the merges
+along their common border. Going back through the table from any prefix gives that prefix's exact encoding, so bytes can be
 appended without looking at what was encoded before, and an edit only re-encodes what comes after it, until the tables meet again.
 
 The vocabulary is read from a file of ranks. One automaton over its tokens finds all that end at a byte, longest first, so that only real
@@ -12,7 +12,8 @@ tokens are looked at. The tokenizer first cuts a text into words by a pattern, a
 blank before another sign always opens a word, whatever stands around it; between two such blanks a text encodes alike everywhere, and as
 these units repeat in a corpus, a bounded cache holds the encodings of frequent ones.
 
-Null and empty texts have no tokens: an empty list. Texts are encoded whole, a word of any length included. Repeated rows give one row.
+Null and empty texts have no tokens: an empty list. Texts are encoded whole, a word of any length included. A row gives a
+row; ``distinct_documents`` leaves one per document where rows repeat, which those of documents do not.
 """
 
 from __future__ import annotations
