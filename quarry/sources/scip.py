@@ -7,11 +7,14 @@ are skipped by their wire type, as the format provides. A broken index gives an
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint, settled
+
 OCCURRENCES = "file string, symbol string, role_bits int, start_line int, start_char int, end_line int, end_char int, doc_order int, pos int"
 SYMBOLS = "file string, symbol string, display_name string, doc_order int, pos int"
 # Numbers of the format's fields.
@@ -107,21 +110,25 @@ def _field(number: int, value: int | bytes) -> bytes:
 
 def write_index(documents: Iterable[tuple[str, list[tuple], list[tuple]]]) -> bytes:
     """The index of documents in the form that ``read_index`` gives."""
-    out = b""
+    out = bytearray()
     for path, occurrences, symbols in documents:
-        body = _field(_PATH, path.encode())
+        body = bytearray(_field(_PATH, path.encode()))
         for symbol, roles, a, b, c, d in occurrences:
             span = [a, b, d] if a == c else [a, b, c, d]
             body += _field(_OCCURRENCE, _field(_RANGE, b"".join(map(_number, span))) + _field(_NAME, symbol.encode()) + (_field(_ROLES, roles) if roles else b""))
         for symbol, name in symbols:
             body += _field(_SYMBOL, _field(_INFO_SYMBOL, symbol.encode()) + (_field(_INFO_NAME, name.encode()) if name else b""))
-        out += _field(_INDEX_DOCUMENT, body)
-    return out
+        out += _field(_INDEX_DOCUMENT, bytes(body))
+    return bytes(out)
 
 
 def parse_indexes(indexes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences and symbols of indexes (name, content). Documents are numbered within their index; ``resolve`` orders them by that."""
+    """Occurrences and symbols of indexes (name, content). Documents are numbered within their index; ``resolve`` orders them by that.
+
+    A part of an index (``to_indexes``) has in first_document the number of documents in the parts before.
+    """
     kinds = {"int": pa.int32(), "string": pa.string()}
+    first = F.col("first_document") if "first_document" in indexes.columns else F.lit(0)
 
     def rows(schema: str, of):
         names = [c.split()[0] for c in schema.split(", ")]
@@ -129,16 +136,15 @@ def parse_indexes(indexes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def run(batches):
             for batch in batches:
-                for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                for name, first, content in zip(*batch.columns):
+                    found = (row for n, document in enumerate(read_index(content.as_py() or b""), first.as_py()) for row in of(n, *document))
                     try:
-                        found = [row for n, document in enumerate(read_index(content or b"")) for row in of(n, *document)]
+                        while chunk := list(islice(found, 50_000)):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names=names)
                     except (IndexError, ValueError) as e:
                         raise ValueError(f"{name} is no index: {e}") from e
-                    for at in range(0, len(found), 50_000):
-                        columns = zip(*found[at : at + 50_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-        return indexes.select("name", "content").mapInArrow(run, schema)
+        return indexes.select("name", first.alias("first_document"), "content").mapInArrow(run, schema)
 
     return (
         rows(OCCURRENCES, lambda n, path, occurrences, symbols: [(path, *o, n, i) for i, o in enumerate(occurrences)]),
@@ -151,21 +157,51 @@ def read_indexes(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame
     return parse_indexes(spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("name"), "content"))
 
 
-def to_indexes(occurrences: DataFrame, symbols: DataFrame, by: str = "file") -> DataFrame:
-    """name, content: an index per value of ``by``, of the occurrences (OCCURRENCES) and symbols (SYMBOLS) that have it."""
-    o = occurrences.groupBy(F.col(by).alias("name")).agg(F.array_sort(F.collect_list(F.struct("file", "pos", "symbol", "role_bits", "start_line", "start_char", "end_line", "end_char"))).alias("o"))
-    s = symbols.groupBy(F.col(by).alias("name")).agg(F.array_sort(F.collect_list(F.struct("file", "pos", "symbol", "display_name"))).alias("s"))
+def _parts(rows: Iterable[tuple], part_bytes: int) -> Iterator[tuple[str, str, int, bytes]]:
+    """Index, first path, number of documents and content of each part, from rows (index, path, kind, position, symbol, ...) in this order."""
+    for name, of_index in groupby(rows, key=lambda r: r[0]):
+        first, n, content = None, 0, bytearray()
+        for path, of_document in groupby(of_index, key=lambda r: r[1]):
+            occurrences, symbols = [], []
+            for _, _, kind, _, symbol, *occurrence, display_name in of_document:
+                if kind == _OCCURRENCE:
+                    occurrences.append((symbol, *occurrence))
+                else:
+                    symbols.append((symbol, display_name))
+            document = write_index([(path, occurrences, symbols)])
+            if n and len(content) + len(document) > part_bytes:
+                yield name, first, n, bytes(content)
+                n, content = 0, bytearray()
+            first, n = first if n else path, n + 1
+            content += document
+        yield name, first, n, bytes(content)
+
+
+def to_indexes(occurrences: DataFrame, symbols: DataFrame, by: str = "file", part_bytes: int = 4 << 20) -> DataFrame:
+    """name, first_document, content: an index per value of ``by``, of the occurrences (OCCURRENCES) and symbols (SYMBOLS) that have it.
+
+    The documents of an index are in order of their paths. It comes in parts of at most ``part_bytes``, or one document, so that no task
+    holds a large index; first_document is the number of documents in the parts before, and the contents in this order, joined, are the index.
+    """
+    key, numbers = F.col(by).cast("string").alias("name"), ["role_bits", "start_line", "start_char", "end_line", "end_char"]
+    rows = occurrences.select(key, "file", F.lit(_OCCURRENCE).alias("kind"), "pos", "symbol", *numbers).unionByName(symbols.select(key, "file", F.lit(_SYMBOL).alias("kind"), "pos", "symbol", "display_name"), allowMissingColumns=True)
+    names = ["name", "part", "n_documents", "content"]
 
     def run(batches):
-        for batch in batches:
-            contents = []
-            for found, named in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                documents: dict[str, tuple[list, list]] = {}
-                for x in found or []:
-                    documents.setdefault(x["file"], ([], []))[0].append((x["symbol"], x["role_bits"], x["start_line"], x["start_char"], x["end_line"], x["end_char"]))
-                for x in named or []:
-                    documents.setdefault(x["file"], ([], []))[1].append((x["symbol"], x["display_name"]))
-                contents.append(write_index((path, *d) for path, d in documents.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], names=["name", "content"])
-
-    return o.join(s, "name", "full_outer").select("name", "o", "s").mapInArrow(run, "name string, content binary")
+        held, size = [], 0
+        for part in _parts((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), part_bytes):
+            held.append(part)
+            size += len(part[3])
+            if size >= part_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+    types = [pa.string(), pa.string(), pa.int32(), pa.binary()]
+    # All rows of a document are in one range, and ranges and the rows in them are in order.
+    parts = checkpoint(rows.repartitionByRange("name", "file").sortWithinPartitions(*rows.columns).mapInArrow(run, "name string, part string, n_documents int, content binary"))
+    before = F.sum("n_documents").over(Window.partitionBy("name").orderBy("part")) - F.col("n_documents")
+    later = settled(parts.select(F.col("name").alias("_name"), F.col("part").alias("_part"), before.cast("int").alias("_before")).filter("_before > 0"))
+    joined = parts.join(later, F.col("name").eqNullSafe(F.col("_name")) & (F.col("part") == F.col("_part")), "left")
+    return joined.select("name", F.coalesce("_before", F.lit(0)).alias("first_document"), "content")

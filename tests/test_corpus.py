@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -338,6 +339,31 @@ def test_symbol_indexes(spark):
         list(scip.read_index(b"\x12\x05ab"))
 
 
+def test_index_of_many_documents_is_written_in_proportion():
+    documents = [(f"r/{i}.ts", [], [("s" * 200, None)]) for i in range(40_000)]
+    began = time.process_time()
+    content = scip.write_index(documents)
+    assert time.process_time() - began < 5 and list(scip.read_index(content)) == documents
+
+
+def test_large_index_comes_in_parts(spark):
+    o = [(r, f"{r}/{i:03}.ts", f"s{j}#", j % 2, j, 0, j, 200, 0, j) for r, n in (("big", 100), ("small", 1)) for i in range(n) if i % 10 for j in range(40 if i == 55 else 2)] + [("small", "small/x.ts", "s#", 1, 0, 0, 1, 1, 0, 0)]
+    s = [(r, f"{r}/{i:03}.ts", f"s{j}#", "S" if j else None, 0, j) for r, n in (("big", 100), ("small", 1)) for i in range(n) for j in range(3)]
+    occurrences, symbols = spark.createDataFrame(o, "repo string, " + scip.OCCURRENCES), spark.createDataFrame(s, "repo string, " + scip.SYMBOLS)
+    indexes = scip.to_indexes(occurrences, symbols, "repo", part_bytes=400)
+    parts = {r: sorted((x.first_document, bytes(x.content)) for x in indexes.collect() if x.name == r) for r in ("big", "small")}
+    assert len(parts["big"]) > 10 and parts["small"] and all(len(c) <= 400 or len(list(scip.read_index(c))) == 1 for of in parts.values() for _, c in of)
+    for r, of in parts.items():
+        paths = sorted({x[1] for x in o + s if x[0] == r})
+        want = [(p, [x[2:8] for x in o if x[1] == p], [x[2:4] for x in s if x[1] == p]) for p in paths]
+        assert list(scip.read_index(b"".join(c for _, c in of))) == want
+        assert [n for n, _ in of] == [sum(len(list(scip.read_index(c))) for _, c in of[:k]) for k in range(len(of))]
+    number = {p: k for r in parts for k, p in enumerate(sorted({x[1] for x in o + s if x[0] == r}))}
+    got, named = scip.parse_indexes(indexes)
+    assert sorted(map(tuple, got.collect())) == sorted((*x[1:8], number[x[1]], x[9]) for x in o)
+    assert {tuple(x) for x in named.collect()} == {(*x[1:4], number[x[1]], x[5]) for x in s} and named.count() == len(s)
+
+
 def test_extract_table(spark):
     files = spark.createDataFrame([(1, "a.py", "x = 1", 0), (2, "b.md", "# x", 0), (3, None, "x", 0), (4, "c.js", None, 0)], "id bigint, file_path string, file_content string, name int")
     assert [(r.file_id, r.name) for r in E.extract(files).collect()] == [(1, "x")]
