@@ -12,7 +12,7 @@ from quarry.sources import repository as T
 from quarry.sources import scip
 from quarry.sources import sinks as K
 from quarry.sources.tables import table
-from quarry.session import shared_folder
+from quarry.session import checkpoint, shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -85,7 +85,8 @@ def _indexed(spark, d):
     files = table(spark, d, "files", "id", "file_path").distinct().withColumnsRenamed({"id": "file_id", "file_path": "file"})
     defs = table(spark, d, "definitions", "id", "file_id", "name", "start_line", "is_exported").filter("name IS NOT NULL").dropDuplicates(["id"]).join(files, "file_id")
     w = V.Window.partitionBy("file").orderBy("id")
-    rows = defs.select("file", (F.row_number().over(w) - 1).alias("pos"), F.concat("file", F.lit("#"), "name").alias("symbol"), F.when(F.col("is_exported"), 1).otherwise(0).alias("role_bits"), (F.col("start_line") - 1).alias("line"), F.length("name").alias("n"), "name")
+    # Occurrences and symbols are both made of these rows, and each is read twice to be dealt out by ranges.
+    rows = checkpoint(defs.select("file", (F.row_number().over(w) - 1).alias("pos"), F.concat("file", F.lit("#"), "name").alias("symbol"), F.when(F.col("is_exported"), 1).otherwise(0).alias("role_bits"), (F.col("start_line") - 1).alias("line"), F.length("name").alias("n"), "name"))
     occurrences = rows.select("file", "symbol", "role_bits", F.col("line").alias("start_line"), F.lit(0).alias("start_char"), (F.col("line") + F.col("pos") % 2).alias("end_line"), F.col("n").alias("end_char"), F.lit(0).alias("doc_order"), "pos", F.split("file", "/")[0].alias("repo"))
     symbols = rows.select("file", "symbol", F.when(F.col("pos") % 3 > 0, F.col("name")).alias("display_name"), F.lit(0).alias("doc_order"), "pos", F.split("file", "/")[0].alias("repo"))
     return scip.parse_indexes(scip.to_indexes(occurrences, symbols, "repo"))

@@ -36,15 +36,16 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Number and value of each field of a message: a number, or bytes."""
-    at = 0
-    while at < len(data):
-        key, at = _varint(data, at)
+    at, end = 0, len(data)
+    while at < end:
+        # Most keys and sizes are of one byte.
+        key, at = (data[at], at + 1) if data[at] < 128 else _varint(data, at)
         wire = key & 7
         if wire == 0:
             value, at = _varint(data, at)
         elif wire == 2:
-            size, at = _varint(data, at)
-            if at + size > len(data):
+            size, at = (data[at], at + 1) if data[at] < 128 else _varint(data, at)
+            if at + size > end:
                 raise ValueError("the index ends within a field")
             value, at = data[at : at + size], at + size
         elif wire in (1, 5):
@@ -56,6 +57,8 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def _numbers(data: bytes) -> list[int]:
+    if data.isascii():
+        return list(data)
     found, at = [], 0
     while at < len(data):
         value, at = _varint(data, at)
@@ -94,7 +97,12 @@ def read_index(data: bytes) -> Iterator[tuple[str, list[tuple], list[tuple]]]:
         yield path, occurrences, symbols
 
 
+_SMALL = [bytes([n]) for n in range(128)]
+
+
 def _number(value: int) -> bytes:
+    if 0 <= value < 128:
+        return _SMALL[value]
     out = bytearray()
     while value > 127:
         out.append(value & 127 | 128)

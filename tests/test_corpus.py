@@ -18,6 +18,7 @@ from quarry.operators import relational as R
 from quarry.operators import resolve as V
 from quarry.operators import search as S
 from quarry.operators.text_index import TextIndex
+from quarry.plans import config_queries
 from quarry.sources import repository as T
 from quarry.sources import scip
 from quarry.sources import sinks as K
@@ -364,6 +365,15 @@ def test_large_index_comes_in_parts(spark):
     assert {tuple(x) for x in named.collect()} == {(*x[1:4], number[x[1]], x[5]) for x in s} and named.count() == len(s)
 
 
+def test_merged_indexes_are_written_once(spark, tmp_path):
+    spark.createDataFrame([(1, "r/a.ts"), (2, "r/b.ts"), (2, "r/b.ts")], "id bigint, file_path string").write.parquet(f"{tmp_path}/files.parquet")
+    definitions = [(1, 1, "f", 3, True), (2, 1, "g", 4, None), (3, 1, "f", 300, False), (3, 1, "f", 300, False), (4, 2, "f", 1, True), (5, 1, None, 1, True)]
+    spark.createDataFrame(definitions, "id bigint, file_id bigint, name string, start_line int, is_exported boolean").write.parquet(f"{tmp_path}/definitions.parquet")
+    merged = config_queries.s7_merged_symbols(spark, str(tmp_path))
+    assert "FileScan" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in merged.collect()} == {("r/a.ts#g", "g"), ("r/a.ts#f", "f")}
+
+
 def test_extract_table(spark):
     files = spark.createDataFrame([(1, "a.py", "x = 1", 0), (2, "b.md", "# x", 0), (3, None, "x", 0), (4, "c.js", None, 0)], "id bigint, file_path string, file_content string, name int")
     assert [(r.file_id, r.name) for r in E.extract(files).collect()] == [(1, "x")]
